@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
-WORD_BREAK = r"[\x20\x09-\x0D]+"
 WORD_BREAKS = " \t\n\x0b\x0c\r"
 
 
@@ -37,7 +36,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words of a text, unchanged; none for null."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), "")
+    text = F.coalesce(text, F.lit(""))
+    for c in WORD_BREAKS[1:]:  # a single-character split needs no regular expression
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
+
+
+def count_chars(text: Column, chars: str) -> Column:
+    """How many of the given ASCII characters the text has: by byte lengths, without a pattern."""
+    rest = text
+    for c in chars:
+        rest = F.replace(rest, F.lit(c))
+    return (F.octet_length(text) - F.octet_length(rest)).cast("long")
 
 
 def split_words(text: str | None) -> list[str]:

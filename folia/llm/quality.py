@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from folia.llm.common import cut, table, words
+from folia.llm.common import WORD_BREAKS, count_chars, cut, table, words
 
 #: Looked-up cutoffs go to the executors as literals up to so many strata; beyond, by a join.
 STRATA_INLINE = 1000
+LONGEST = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -39,7 +40,12 @@ class Policy:
     delta: float = 0.05
     cost: float = 4.0
     grid: tuple[float, ...] = field(default=tuple(round(0.02 * i, 2) for i in range(50)))
-    rules: tuple[str, ...] = ("symbol_ratio", "caps_ratio", "dup_line_ratio", "repeat_ratio")
+    rules: tuple[str, ...] = ("symbol_ratio", "bang_ratio", "dup_line_ratio", "repeat_ratio")
+
+
+def near(a: Column, b: Column, place: int) -> Column:
+    """Two packed windows with the same bits of hash; false if one is absent."""
+    return F.coalesce(a.bitwiseXOR(b).bitwiseAND(F.lit(~place)) == 0, F.lit(False))
 
 
 def features(df: DataFrame, text: str = "text") -> DataFrame:
@@ -50,33 +56,42 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
     x = df.select(
         *keep,
         words(F.col(text)).alias("_w"),
-        F.filter(F.split(d, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
-        F.regexp_count(d, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.regexp_count(d, F.lit(r"[\p{Lu}!]")).cast("long").alias("n_caps"),
+        F.filter(F.split(d, "\n"), lambda s: F.btrim(s, F.lit(WORD_BREAKS)) != "").alias("_lines"),
+        count_chars(d, "#*$%&|<>").alias("n_symbols"),
+        count_chars(d, "!").alias("n_bang"),
     )
     x = x.select(
-        *keep, "n_symbols", "n_caps", "_w",
+        *keep, "n_symbols", "n_bang", "_w",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("_w") >= 3, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))))
-        .otherwise(F.array().cast("array<bigint>")).alias("_h"),
+        F.transform("_w", lambda w: F.xxhash64(w)).alias("_1"),
     )
-    x = x.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
-    # Starts of windows that stand next to an equal one in hash order; the words themselves are compared too.
-    def at(s: Column, j: Column, k: int) -> Column:
-        o = F.get("_s", j + k)
-        same = (o["h"] == s["h"]) & (F.slice("_w", o["i"] + 1, 3) == F.slice("_w", s["i"] + 1, 3))
-        return F.coalesce(same, F.lit(False))
-
-    x = x.withColumn("_r", F.when(F.size("_s") > 0, F.array_sort(F.transform(F.filter("_s", lambda s, j: at(s, j, 1) | F.when(j > 0, at(s, j, -1)).otherwise(F.lit(False))), lambda s: s["i"]))).otherwise(F.array().cast("array<int>")))
+    pairs = F.zip_with("_1", F.slice("_1", 2, LONGEST), lambda a, b: F.xxhash64(a, b))
+    threes = F.zip_with(pairs, F.slice("_1", 3, LONGEST), lambda a, b: F.xxhash64(a, b))
+    x = x.withColumn("_h", F.when(F.size("_1") >= 3, F.slice(threes, F.lit(1), F.size("_1") - 2)).otherwise(F.array().cast("array<bigint>")))
+    # 44 bits of the hash and 20 of the place in one long: a primitive sort brings equal windows together.
+    place, ints = (1 << 20) - 1, F.array().cast("array<int>")
+    repeats, short = F.size(F.array_distinct("_h")) < F.size("_h"), F.size("_h") <= place
+    x = x.withColumn("_s", F.when(repeats & short, F.sort_array(F.transform("_h", lambda h, i: h.bitwiseAND(F.lit(~place)).bitwiseOR(i.cast("long"))))).otherwise(F.array().cast("array<bigint>")))
+    left = F.array_compact(F.zip_with("_s", F.slice("_s", 2, LONGEST), lambda a, b: F.when(a.bitwiseXOR(b).bitwiseAND(F.lit(~place)) == 0, F.array(a, b))))
+    x = x.withColumn("_c", F.sort_array(F.array_distinct(F.flatten(left))))
+    three = lambda s: F.slice("_w", s.bitwiseAND(F.lit(place)).cast("int") + 1, 3)
+    x = x.withColumn("_clash", F.exists(F.transform("_c", lambda s, j: F.coalesce(near(s, F.get("_c", j + 1), place) & (three(s) != three(F.get("_c", j + 1))), F.lit(False))), lambda b: b))
+    # Texts of over a million words, or whose 44 bits clash, are sorted by the words themselves.
+    exact = F.when(F.col("_clash") | (repeats & ~short), F.sort_array(F.transform("_h", lambda h, i: F.struct(F.slice("_w", i + 1, 3).alias("w"), i.alias("i")))))
+    x = x.withColumn("_e", exact)
+    twin = lambda s, j: F.coalesce(F.get("_e", j)["w"] == s["w"], F.lit(False))
+    slow = F.transform(F.filter("_e", lambda s, j: twin(s, j + 1) | F.when(j > 0, twin(s, j - 1)).otherwise(F.lit(False))), lambda s: s["i"])
+    fast = F.transform("_c", lambda s: s.bitwiseAND(F.lit(place)).cast("int"))
+    x = x.withColumn("_r", F.sort_array(F.when(F.col("_e").isNotNull(), slow).when(F.size("_c") > 0, fast).otherwise(ints)))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
     x = x.withColumn("n_repeat_words", F.aggregate("_r", start, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"]))
     share = lambda a, b: F.coalesce(F.col(a) / F.when(F.col(b) > 0, F.col(b)), F.lit(0.0))
     return x.select(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        share("n_symbols", "word_chars").alias("symbol_ratio"), share("n_caps", "word_chars").alias("caps_ratio"),
+        share("n_symbols", "word_chars").alias("symbol_ratio"), share("n_bang", "n_words").alias("bang_ratio"),
         share("n_dup_lines", "n_lines").alias("dup_line_ratio"), share("n_repeat_words", "n_words").alias("repeat_ratio"),
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
     )
