@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from folia.llm.bpe import op10_bpe
+from folia.llm.language import op3_language
+from folia.llm.media import op7_media
+from folia.llm.neardup import op5_near_duplicates
+from folia.llm.packing import op1_packing
 from folia.llm.quality import op8_quality
 from folia.llm.sharding import op6_sharding
+from folia.llm.urls import op9_urls
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op3_language": op3_language,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_sharding": op6_sharding,
+    "op7_media": op7_media,
     "op8_quality": op8_quality,
+    "op9_urls": op9_urls,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLES: dict[str, str] = {}
