@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one slab at most (one longer row makes a slab of its own).
 ROWS, BYTES = 1024, 8 << 20
@@ -18,8 +21,23 @@ def slabs(batches: Iterator[pa.RecordBatch], rows: int = ROWS, size: int = BYTES
             yield batch.slice(i, step)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application: they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_folia_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="folia-")) / "folia.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._folia_shipped = True
+
+
 def in_python(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int = ROWS) -> DataFrame:
     """df through Python, slab by slab. make() runs once per task and returns the slab's function."""
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()

@@ -164,6 +164,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs without its text, with lang_pred and score; text is the only input."""
+    docs = docs.drop("lang_pred", "score")
     keep = [c for c in docs.columns if c != text]
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != text)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB: codes x landmarks of the bounded sample

@@ -229,6 +229,7 @@ def store(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 def sniff(stored: DataFrame, media: str = "media", declared: str = "declared") -> DataFrame:
     """stored and media_type (corrected), valid, payload (samples of a WAVE file, else the bytes),
     embedded (type, offset, length) and feature."""
+    stored = stored.drop("media_type", "valid", "payload", "embedded", "feature")
     names, schema = stored.columns, ", ".join(f"`{c}` {t}" for c, t in stored.dtypes)
     spans = pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
 

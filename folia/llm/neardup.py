@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folia.llm.batches import in_python
+from folia.llm.batches import in_python, ship
 from folia.llm.common import cut, split_words, table
 from folia.llm.shingles import MinHash, WordHashes, bands_for, constants, windows
 
@@ -157,6 +157,7 @@ def verify(members: DataFrame, n: int, similarity: float, text: str) -> DataFram
         if held:
             yield done()
 
+    ship(members.sparkSession)
     return members.mapInArrow(run, "node bigint, links bigint, root bigint, group bigint")
 
 

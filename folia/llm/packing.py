@@ -144,6 +144,7 @@ def flows(counts: np.ndarray) -> np.ndarray:
 
 def pack(items: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """items (with a column length, 1 to the capacity) and their sequence_id and offset."""
+    items = items.drop("sequence_id", "offset")
     salted = items.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
     held = np.zeros((capacity + 1, SALTS), np.int64)
     for length, salt, n in salted.groupBy("length", "_salt").agg(F.count("*")).collect():  # at most capacity x salts rows
@@ -168,7 +169,11 @@ def pack(items: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("
     return in_python(numbered, make, f"{schema}, sequence_id bigint, offset bigint", rows=1 << 16)
 
 
+def packed(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+    """The documents' pieces, ids by their CRC, each with its sequence and place."""
+    cut_up = pieces(docs, path, capacity)
+    return pack(cut(cut_up.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces"), capacity)
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut_up = pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
-    narrow = cut(cut_up.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
-    return pack(narrow)
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))

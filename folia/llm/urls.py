@@ -164,7 +164,7 @@ def fit(labelled: DataFrame, limit: int = TRAIN_ROWS) -> Trees:
 def judge(urls: DataFrame, model: Trees, rules: tuple = RULES) -> DataFrame:
     """urls (with a column url) and host, path, rule, verdict and block_score."""
     text, said = rule(F.col("host"), F.col("path"), rules)
-    x = urls.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))}).withColumns({"rule": text, "_said": said})
+    x = urls.drop("block_score", "verdict", "_said").withColumns({"host": host(F.col("url")), "path": path(F.col("url"))}).withColumns({"rule": text, "_said": said})
     names, schema = x.columns, ", ".join(f"`{c}` {t}" for c, t in x.dtypes)
 
     def make():
