@@ -1,14 +1,76 @@
-"""The corpus pipeline: quality rules, language ID, near duplicates, repeated passages, packing."""
+"""The corpus pipeline: quality rules, language ID, near duplicates, repeated passages, packing.
+
+Each stage takes the documents that its predecessor kept. Filters return whole rows unchanged:
+
+* quality rules: rejected documents go;
+* language ID: documents without letters (`und`), or whose best score is below MIN_SCORE, go;
+* n-gram Jaccard join: of each class of near duplicates the lowest doc_id stays;
+* substring dedup: every document stays, without passages that an earlier one has (a changed text
+  is its remaining words joined by spaces, n_chars follows);
+* best-fit packing: returns the pieces with their sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folia.llm import language, neardup, packing, quality, substrings
+from folia.llm.common import cut, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+MIN_SCORE = 0.3
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    policy = quality.Policy()
+    scored = cut(quality.features(docs.select("doc_id", "text", "lang")), "quality")
+    chosen = cut(quality.cutoffs(scored, table(spark, sf_dir, "labels"), policy), "cutoffs")
+    again = quality.features(docs.select(F.struct(*COLUMNS).alias("_doc"), "lang", "text"))
+    return quality.judge(again, chosen, policy).where("kept").select("_doc.*")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language.fit(docs)
+    found = language.predict(docs.select(*COLUMNS, F.col("text").alias("_text")), model, "_text")
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(docs)
+    first = found.where(F.col("class_id") == F.col("doc_id")).select("doc_id")
+    stay = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return stay.unionByName(docs.where(F.col("doc_id").isNull())).select(*COLUMNS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = substrings.substring_dedup(docs.select(*COLUMNS), carry=("lang", "source", "n_chars"), original=True)
+    changed = F.col("n_removed") > 0
+    text = F.when(changed, F.col("kept")).otherwise(F.col("original"))
+    return found.select("doc_id", text.alias("text"), "lang", "source", F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs, public_tokenizers.path(packing.VOCABULARY))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", quality_rules),
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", substring_dedup),
+    ("best-fit packing", best_fit_packing),
+]
 
-#: Cutoffs learned from labels and a trained classifier are beyond SQL; tests use brute force.
+#: Cutoffs learned from labels, a trained classifier and a tokenizer are beyond SQL; tests use brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = cut(docs, name.replace(" ", "-"))
+    return docs
