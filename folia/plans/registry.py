@@ -2,5 +2,435 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from folia.functions import text as tx
+from folia.operators import diff as df_
+from folia.operators import facets, index, search, writer
+from folia.plans.query import parse
+from folia.sources import readers
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+ERAS = ((1993, "early"), (1996, "middle"), (1998, "late"), (None, "last"))
+THEMES = (("Urgent", ("urgent",)), ("High", ("high",)), ("Low", ("low", "not spec")))
+PLACES = (("Americas", ("united states", "canada", "brazil")), ("Gulf", ("iran", "iraq", "saudi")))
+TOPICS = {"light": ("light", "tion the"), "water": ("that of", "thea"), "way": ("le la", "der die"), "rare": ("zzzz",)}
+
+PARA = r"""
+para AS (SELECT doc_id, i - 1 AS seq, p[i] AS content FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM
+  (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents))),
+tok AS (SELECT doc_id, seq, content, seq = 0 OR starts_with(lower(content), 'event page') AS meta,
+  regexp_extract_all(lower(content), '[\p{L}\p{N}\p{Co}\p{Mn}\p{Mc}]+') AS w FROM para)"""
+WORDS = """,
+base AS (SELECT doc_id, seq, meta, w, coalesce(sum(len(w)) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM tok),
+word AS (SELECT doc_id, seq, meta, b + i - 1 AS rp, i - 1 AS pos, w[i] AS t FROM (SELECT doc_id, seq, meta, b, w, unnest(range(1, len(w) + 1)) AS i FROM base))"""
+EVENTS = """
+events_ AS (SELECT o_orderkey AS event_id, o_orderpriority || ' ~ ' || CAST(o_orderkey % 100 AS VARCHAR) AS title,
+  CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date,
+  CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE n_name END AS location, o_orderstatus AS language
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.chunk_lines(read(spark, sf_dir, "documents"))
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents: turns are paragraphs that carry a role."""
+    c = read(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").alias("event_id"), F.col("turn").cast("int").alias("sequence_number"), F.col("text").alias("content"), "role")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents: title `series ~ n`, dates and places of which some are missing."""
+    o, c, n = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    x = o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    k = F.col("o_orderkey")
+    return x.select(
+        k.alias("event_id"), F.concat("o_orderpriority", F.lit(" ~ "), (k % 100).cast("string")).alias("title"),
+        F.when(k % 11 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"), F.when(k % 7 != 0, F.col("n_name")).alias("location"), F.col("o_orderstatus").alias("language"),
+    )
+
+
+def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = read(spark, sf_dir, "labels")
+    return x.select(F.col("doc_id").alias("event_id"), F.explode(F.array_compact(F.array(F.when(F.col("quality") == 1, "good"), F.when(F.col("toxic") == 1, "toxic")))).alias("tag")).distinct()
+
+
+def order_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.concat("l_returnflag", "l_linestatus").alias("tag"))
+    return x.distinct()
+
+
+TAGS = "tags_ AS (SELECT doc_id AS event_id, 'good' AS tag FROM labels WHERE quality = 1 UNION SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1)"
+ORDER_TAGS = "tags_ AS (SELECT DISTINCT l_orderkey AS event_id, l_returnflag || l_linestatus AS tag FROM lineitem)"
+
+
+# ---- search ---------------------------------------------------------------------------------
+
+
+@query(f"""WITH {PARA}, f AS (SELECT doc_id, list_contains(w, 'that') AS a, list_contains(w, 'in') AS b FROM tok WHERE NOT meta),
+g AS (SELECT doc_id, count(*) AS n FROM f WHERE a OR b GROUP BY doc_id HAVING bool_or(a) AND bool_or(b))
+SELECT doc_id AS event_id, n AS hit_count, round(-ln(1 + n), 6) AS rank FROM g ORDER BY n DESC, doc_id LIMIT 200""")
+def search_all_words_exact(spark, sf_dir):
+    found = search.all_words(paragraphs(spark, sf_dir), parse("that in"))
+    return search.top(found).withColumn("rank", F.round("rank", 6))
+
+
+@query(f"""WITH {PARA}, f AS (SELECT doc_id, list_contains(w, 'that') OR list_contains(w, 'le') AS a, list_contains(w, 'in') OR list_contains(w, 'la') AS b FROM tok WHERE NOT meta)
+SELECT count(*) AS total, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_hits FROM (SELECT doc_id, count(*) AS n FROM f WHERE a OR b GROUP BY doc_id HAVING bool_or(a) AND bool_or(b))""")
+def search_or_groups_totals(spark, sf_dir):
+    found = search.all_words(paragraphs(spark, sf_dir), parse("(that OR le) AND (in OR la)"))
+    return found.agg(F.count("*").alias("total"), F.coalesce(F.sum("hit_count"), F.lit(0)).alias("total_hits"))
+
+
+NEAR = """, hit AS (SELECT doc_id, {key} rp, max(CASE WHEN t = 'that' THEN rp END) AS u0, max(CASE WHEN t = 'with' THEN rp END) AS u1, max(CASE WHEN t = 'and' THEN rp END) AS u2
+  FROM word WHERE NOT meta AND t IN ('that', 'with', 'and') GROUP BY doc_id, {key} rp),
+l AS (SELECT doc_id, {key} rp, max(u0) OVER w AS l0, max(u1) OVER w AS l1, max(u2) OVER w AS l2 FROM hit WINDOW w AS (PARTITION BY doc_id{part} ORDER BY rp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+s AS (SELECT doc_id, {key} rp AS hi, least(l0, l1, l2) AS lo, rp - least(l0, l1, l2) AS span FROM l WHERE l0 IS NOT NULL AND l1 IS NOT NULL AND l2 IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id{part} ORDER BY span, lo) AS n FROM s)"""
+
+
+@query(f"WITH {PARA}{WORDS}{NEAR.format(key='', part='')} SELECT doc_id AS event_id, CAST(span AS BIGINT) AS span, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM r WHERE n = 1 AND span <= 10")
+def search_near_exact(spark, sf_dir):
+    return search.within(paragraphs(spark, sf_dir), parse("NEAR(that with and, 10)")).select("event_id", "span", "lo", "hi")
+
+
+@query(f"""WITH {PARA}{WORDS.replace('b + i - 1 AS rp', 'i - 1 AS rp')}{NEAR.format(key='seq,', part=', seq')}
+SELECT doc_id AS event_id, seq AS sequence_number, CAST(span AS BIGINT) AS span FROM r WHERE n = 1 AND span <= 11""")
+def search_near_paragraph(spark, sf_dir):
+    found = search.within(paragraphs(spark, sf_dir), parse("NEAR(that with and, 10)"), paragraph_level=True)
+    return found.select("event_id", F.col("sequence_number").cast("bigint").alias("sequence_number"), "span")
+
+
+@query(f"""WITH {PARA}, h AS (SELECT doc_id, seq FROM tok WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' of the '))
+SELECT count(DISTINCT doc_id) AS total, count(*) AS total_hits FROM h""")
+def search_phrase_totals(spark, sf_dir):
+    return search.totals(search.paragraph_hits(paragraphs(spark, sf_dir), parse('"of the"')))
+
+
+@query(f"""WITH {PARA} SELECT doc_id AS event_id, CAST(seq AS INTEGER) AS sequence_number FROM tok
+WHERE (len(list_filter(w, lambda x: starts_with(x, 'than'))) > 0 OR (list_contains(w, 'le') AND list_contains(w, 'la'))) AND NOT list_contains(w, 'zzz') AND NOT (list_contains(w, 'was'))""")
+def search_prefix_or_not(spark, sf_dir):
+    hits = search.paragraph_hits(paragraphs(spark, sf_dir), parse("((than* OR (le AND la)) NOT zzz) NOT was"))
+    return hits.select("event_id", "sequence_number")
+
+
+@query(f"""WITH {PARA}, l AS (SELECT doc_id, seq, len(w) AS len, len(list_filter(w, lambda x: x = 'worthless')) AS f0, len(list_filter(w, lambda x: starts_with(x, 'pathetic'))) AS f1 FROM tok),
+s AS (SELECT count(*) AS n, avg(len) AS avgdl, sum(CASE WHEN f0 > 0 THEN 1 ELSE 0 END) AS n0, sum(CASE WHEN f1 > 0 THEN 1 ELSE 0 END) AS n1 FROM l),
+x AS (SELECT doc_id, seq, round(-(greatest(ln((n - n0 + 0.5) / (n0 + 0.5)), 1e-6) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * len / avgdl)) + greatest(ln((n - n1 + 0.5) / (n1 + 0.5)), 1e-6) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * len / avgdl))), 6) AS score
+  FROM l, s WHERE f0 > 0 OR f1 > 0)
+SELECT doc_id AS event_id, CAST(seq AS INTEGER) AS sequence_number, score FROM x ORDER BY score, doc_id, seq LIMIT 100""")
+def search_bm25_topk(spark, sf_dir):
+    scored = search.bm25(paragraphs(spark, sf_dir), parse("worthless OR pathetic*")).withColumn("score", F.round("score", 6))
+    return scored.orderBy("score", "event_id", "sequence_number").limit(100)
+
+
+@query(f"""WITH {PARA}, h AS (SELECT doc_id, seq FROM tok WHERE list_contains(w, 'worthless')), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS rn, count(*) OVER (PARTITION BY doc_id) AS hit_count FROM h)
+SELECT doc_id AS event_id, CAST(seq AS INTEGER) AS sequence_number, CAST(rn AS INTEGER) AS rn, hit_count FROM r WHERE rn <= 3""")
+def search_first_hits(spark, sf_dir):
+    found = search.first_hits(search.paragraph_hits(paragraphs(spark, sf_dir), parse("worthless")))
+    return found.select("event_id", "sequence_number", "rn", "hit_count")
+
+
+@query("""WITH h AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations
+  WHERE turn <> 0 AND role = 'assistant' AND list_contains(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}\\p{Co}\\p{Mn}\\p{Mc}]+'), 'the'))
+SELECT conv_id AS event_id, CAST(turn AS INTEGER) AS sequence_number, role, CAST(rn AS INTEGER) AS rn FROM h WHERE rn <= 3""")
+def search_role_filter(spark, sf_dir):
+    hits = search.paragraph_hits(turns(spark, sf_dir), parse("the")).where((F.col("role") == "assistant") & (F.col("sequence_number") != 0))
+    return search.first_hits(hits).select("event_id", "sequence_number", "role", "rn")
+
+
+@query(f"""WITH {PARA}, d AS (SELECT doc_id FROM documents WHERE lower(lang) IN ('english', 'en')), f AS (SELECT doc_id, list_contains(w, 'that') AS a, list_contains(w, 'in') AS b FROM tok WHERE NOT meta AND doc_id IN (SELECT doc_id FROM d))
+SELECT doc_id AS event_id, count(*) AS hit_count FROM f WHERE a OR b GROUP BY doc_id HAVING bool_or(a) AND bool_or(b)""")
+def search_language_filter(spark, sf_dir):
+    asked = read(spark, sf_dir, "documents").where(tx.language_is(F.col("lang"), "English"))
+    return search.all_words(index.chunk_lines(asked), parse("that in")).select("event_id", "hit_count")
+
+
+@query(f"""WITH {PARA} SELECT doc_id AS event_id, CAST(seq AS INTEGER) AS sequence_number,
+regexp_replace(content, '(^|[^\\p{{L}}\\p{{N}}\\p{{Co}}\\p{{Mn}}\\p{{Mc}}])((?i:worthless))($|[^\\p{{L}}\\p{{N}}\\p{{Co}}\\p{{Mn}}\\p{{Mc}}])', '\\1«\\2»\\3', 'g') AS hl FROM tok WHERE list_contains(w, 'worthless')""")
+def search_highlight(spark, sf_dir):
+    q = parse("worthless")
+    hits = search.paragraph_hits(paragraphs(spark, sf_dir), q)
+    return hits.select("event_id", "sequence_number", search.highlight(F.col("content"), q.terms).alias("hl"))
+
+
+@query("""WITH t AS (SELECT p_partkey, p_name, p_type, regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}\\p{Co}\\p{Mn}\\p{Mc}]+') AS a, regexp_extract_all(lower(p_type), '[\\p{L}\\p{N}\\p{Co}\\p{Mn}\\p{Mc}]+') AS b FROM part),
+w AS (SELECT a[1] AS x FROM t ORDER BY p_partkey LIMIT 1)
+SELECT p_partkey AS event_id, p_name AS title FROM t WHERE list_contains(a, (SELECT x FROM w)) AND NOT list_contains(b, (SELECT x FROM w))""")
+def title_union_antijoin(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    titles = part.select(F.col("p_partkey").alias("event_id"), F.col("p_name").alias("title"))
+    body = part.select(F.col("p_partkey").alias("event_id"), F.lit(1).alias("sequence_number"), F.col("p_type").alias("content"))
+    # The first word of the first title; one row.
+    word = titles.orderBy("event_id").limit(1).select(tx.tokens(F.col("title"))[0].alias("w")).first()["w"]
+    q = parse(f'"{word}"')
+    return search.title_only(titles, q, search.paragraph_hits(body, q))
+
+
+@query(f"""WITH {PARA}{WORDS} SELECT t AS term, count(DISTINCT doc_id * 1000000 + seq) AS df, count(*) AS cf FROM word GROUP BY t""")
+def index_vocabulary(spark, sf_dir):
+    return index.vocabulary(index.postings(paragraphs(spark, sf_dir)))
+
+
+@query(f"""WITH {PARA}{WORDS} SELECT doc_id AS event_id, CAST(seq AS INTEGER) AS sequence_number, CAST(pos AS INTEGER) AS pos, CAST(rp AS BIGINT) AS rp FROM word WHERE t = 'worthless'""")
+def index_postings_scan(spark, sf_dir):
+    rows = index.postings(paragraphs(spark, sf_dir)).where(F.col("term") == "worthless")
+    return rows.select("event_id", "sequence_number", "pos", F.col("rp").cast("bigint").alias("rp"))
+
+
+@query()
+def index_stemmed_vocabulary(spark, sf_dir):
+    rows = index.postings(paragraphs(spark, sf_dir))
+    return index.vocabulary(index.postings(paragraphs(spark, sf_dir), "stemmed", tx.stemmed(rows.select("term"))))
+
+
+# ---- sources and text -----------------------------------------------------------------------
+
+
+@query(f"WITH {PARA} SELECT doc_id AS event_id, CAST(seq AS INTEGER) AS sequence_number, content FROM para")
+def chunk_paragraphs(spark, sf_dir):
+    return paragraphs(spark, sf_dir)
+
+
+@query("""WITH b AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\n{2,}'), lambda x: trim(x)), lambda x: length(x) >= 20) AS p,
+  list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: length(x) >= 10) AS q FROM documents)
+SELECT doc_id, CAST(len(CASE WHEN len(p) > 0 THEN p ELSE q END) AS INTEGER) AS n FROM b""")
+def chunk_blocks_counts(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", F.size(index.chunk_blocks(F.coalesce("text", F.lit("")))).alias("n"))
+
+
+@query("""SELECT page_id, nullif(trim(regexp_extract(coalesce(html, ''), '(?is)<title>(.*?)</title>', 1)), '') AS title, nullif(trim(regexp_extract(coalesce(html, ''), '(?i)<html[^>]*\\blang="([^"]*)"', 1)), '') AS language FROM pages""")
+def header_parse(spark, sf_dir):
+    return readers.parse_pages(read(spark, sf_dir, "pages")).select("page_id", "title", "language")
+
+
+@query("""SELECT doc_id, lower(trim(regexp_replace(regexp_replace(nfc_normalize(substr(text, 1, 60)), '[~∼～⁓‐‑‒–—―−-]', '~', 'g'), '\\s+', ' ', 'g'))) AS k FROM documents""")
+def canonical_titles(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", tx.canonical_title(F.substring("text", 1, 60)).alias("k"))
+
+
+@query("SELECT doc_id, strip_accents(substr(text, 1, 200)) AS folded FROM documents WHERE lang IN ('fr', 'es')")
+def fold_accents(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").where(F.col("lang").isin("fr", "es"))
+    return d.select("doc_id", tx.fold_latin(F.substring("text", 1, 200)).alias("folded"))
+
+
+# ---- filters, facets, catalog ---------------------------------------------------------------
+
+
+@query(f"""WITH {EVENTS} SELECT event_id, date FROM events_ WHERE date IS NOT NULL AND substr(date, 1, 4) >= '1993' AND substr(date, 1, 4) <= '1995'""")
+def search_year_overlap(spark, sf_dir):
+    return events(spark, sf_dir).where(tx.years_overlap(F.col("date"), "1993", "1995-06")).select("event_id", "date")
+
+
+@query(f"""WITH {EVENTS}, {ORDER_TAGS}, t AS (SELECT event_id, array_to_string(list_sort(list(tag)), ',') AS tags FROM tags_ GROUP BY event_id)
+SELECT events_.event_id, title, date, coalesce(tags, '') AS tags FROM events_ LEFT JOIN t ON events_.event_id = t.event_id WHERE title IS NOT NULL""")
+def catalog_with_tags(spark, sf_dir):
+    return facets.catalog(events(spark, sf_dir), order_tags(spark, sf_dir)).select("event_id", "title", "date", F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"WITH {TAGS} SELECT tag, count(*) AS cnt FROM tags_ GROUP BY tag")
+def tag_counts(spark, sf_dir):
+    return facets.tag_counts(tags(spark, sf_dir))
+
+
+@query("SELECT DISTINCT lang AS language FROM documents WHERE lang IS NOT NULL")
+def languages(spark, sf_dir):
+    return facets.languages(read(spark, sf_dir, "documents").withColumnRenamed("lang", "language"))
+
+
+@query(f"WITH {EVENTS} SELECT min(substr(date, 1, 4)) AS min_year, max(substr(date, 1, 4)) AS max_year FROM events_ WHERE length(date) >= 4")
+def date_range(spark, sf_dir):
+    return facets.date_range(events(spark, sf_dir))
+
+
+@query(f"""WITH {EVENTS} SELECT coalesce(substr(date, 1, 4), 'Undated') AS year, split_part(title, ' ~ ', 1) AS series, array_to_string(list_sort(list(title)), '|') AS titles FROM events_ GROUP BY 1, 2""")
+def hierarchy(spark, sf_dir):
+    return facets.hierarchy(events(spark, sf_dir)).select("year", "series", F.array_join("titles", "|").alias("titles"))
+
+
+ERA = "CASE WHEN {y} IS NULL THEN 'Unknown' WHEN {y} < 1993 THEN 'early' WHEN {y} < 1996 THEN 'middle' WHEN {y} < 1998 THEN 'late' ELSE 'last' END"
+YEAR = "CAST(substr(date, 1, 4) AS INTEGER)"
+
+
+@query(f"WITH {EVENTS} SELECT {ERA.format(y=YEAR)} AS cluster, count(*) AS cnt FROM events_ GROUP BY 1")
+def clusters_timeline(spark, sf_dir):
+    return facets.timeline(events(spark, sf_dir), ERAS)
+
+
+@query(f"WITH {EVENTS} SELECT location AS cluster, count(*) AS cnt FROM events_ WHERE location IS NOT NULL GROUP BY 1 ORDER BY cnt DESC, cluster LIMIT 10")
+def clusters_geography(spark, sf_dir):
+    return facets.counted(events(spark, sf_dir).where(F.col("location").isNotNull()), F.col("location"), 10)
+
+
+@query(f"""WITH {EVENTS} SELECT CASE WHEN contains(lower(title), 'urgent') THEN 'Urgent' WHEN contains(lower(title), 'high') THEN 'High' WHEN contains(lower(title), 'low') OR contains(lower(title), 'not spec') THEN 'Low' ELSE 'Misc' END AS cluster, count(*) AS cnt FROM events_ GROUP BY 1""")
+def clusters_themes(spark, sf_dir):
+    return facets.counted(events(spark, sf_dir), tx.first_match(F.col("title"), THEMES, "Misc"))
+
+
+@query("""WITH c AS (SELECT lang AS cluster, count(*) AS cnt FROM documents GROUP BY 1) SELECT cluster, cnt, round(100.0 * cnt / max(cnt) OVER (), 6) AS pct FROM c""")
+def facet_counts_pct(spark, sf_dir):
+    return facets.percent_of_max(facets.counted(read(spark, sf_dir, "documents"), F.col("lang")))
+
+
+@query(f"""WITH {EVENTS} SELECT CASE WHEN location IS NULL THEN 'Unknown' WHEN regexp_matches(lower(location), 'united states|canada|brazil') THEN 'Americas' WHEN regexp_matches(lower(location), 'iran|iraq|saudi') THEN 'Gulf'
+  WHEN length(location) < 25 THEN trim(split_part(location, ',', 1)) ELSE 'Other' END AS cluster, count(*) AS cnt FROM events_ GROUP BY 1""")
+def facet_places(spark, sf_dir):
+    return facets.counted(events(spark, sf_dir), tx.place_name(F.col("location"), PLACES))
+
+
+ROLLUP = f"""{EVENTS}, {ORDER_TAGS}, x AS (SELECT *, split_part(title, ' ~ ', 1) AS series, {YEAR} AS y FROM events_),
+b AS (SELECT series, min(y) AS min_year, max(y) AS max_year, count(*) AS talks, CASE WHEN count(DISTINCT language) > 1 THEN 'Mixed' ELSE min(language) END AS language FROM x GROUP BY 1),
+p AS (SELECT series, location, row_number() OVER (PARTITION BY series ORDER BY count(*) DESC, location) AS r FROM x WHERE location IS NOT NULL GROUP BY series, location),
+u AS (SELECT series, tag, count(*) AS n FROM x JOIN tags_ ON x.event_id = tags_.event_id GROUP BY 1, 2),
+v AS (SELECT series, tag, row_number() OVER (PARTITION BY series ORDER BY n DESC, tag) AS r FROM u),
+w AS (SELECT series, string_agg(tag, ',' ORDER BY r) AS tags FROM v WHERE r <= 6 GROUP BY series),
+roll AS (SELECT b.series, min_year, max_year, talks, language, p.location, w.tags, {ERA.format(y='min_year')} AS era FROM b LEFT JOIN p ON b.series = p.series AND p.r = 1 LEFT JOIN w ON b.series = w.series)"""
+
+
+def _rollup(spark, sf_dir):
+    return facets.series_rollup(events(spark, sf_dir), order_tags(spark, sf_dir), ERAS)
+
+
+@query(f"WITH {ROLLUP} SELECT * FROM roll")
+def series_rollup(spark, sf_dir):
+    return _rollup(spark, sf_dir)
+
+
+@query(f"WITH {ROLLUP} SELECT era, count(*) AS series, CAST(sum(talks) AS BIGINT) AS talks FROM roll GROUP BY era")
+def era_totals(spark, sf_dir):
+    return facets.era_totals(_rollup(spark, sf_dir))
+
+
+@query(f"WITH {ROLLUP} SELECT tag, CAST(sum(talks) AS BIGINT) AS weight FROM (SELECT talks, unnest(string_split(tags, ',')) AS tag FROM roll WHERE tags IS NOT NULL) GROUP BY tag")
+def weighted_tags(spark, sf_dir):
+    return facets.weighted_tags(_rollup(spark, sf_dir))
+
+
+@query(f"""WITH {EVENTS} SELECT split_part(title, ' ~ ', 1) AS series, min(coalesce(date, '')) AS first_date, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY coalesce(date, ''), event_id) AS talks FROM events_ GROUP BY 1""")
+def talks_in_series(spark, sf_dir):
+    x = facets.talks_in_series(events(spark, sf_dir))
+    return x.select("series", "first_date", F.array_join(F.transform("talks", lambda t: t.cast("string")), ",").alias("talks"))
+
+
+@query(f"""WITH {EVENTS} SELECT count(*) AS n, count(*) FILTER (location IS NULL) AS no_location, count(*) FILTER (date IS NULL) AS no_date,
+round(100.0 * count(*) FILTER (location IS NULL) / count(*), 6) AS pct_location, round(100.0 * count(*) FILTER (date IS NULL) / count(*), 6) AS pct_date FROM events_""")
+def missing_values(spark, sf_dir):
+    return facets.missing_values(events(spark, sf_dir))
+
+
+@query(f"""WITH {EVENTS} SELECT event_id, title FROM events_ WHERE title ILIKE '%high%' OR location ILIKE '%high%' ORDER BY coalesce(date, ''), title, event_id LIMIT 50 OFFSET 50""")
+def admin_page(spark, sf_dir):
+    return facets.page_of(events(spark, sf_dir), 2, 50, "high").select("event_id", "title")
+
+
+@query(f"""WITH {EVENTS}, {ORDER_TAGS} SELECT count(*) AS total FROM events_ WHERE EXISTS (SELECT 1 FROM tags_ WHERE tags_.event_id = events_.event_id AND tag = 'RF')""")
+def tag_filter_total(spark, sf_dir):
+    x = events(spark, sf_dir).join(order_tags(spark, sf_dir).where("tag = 'RF'"), "event_id", "left_semi")
+    return x.agg(F.count("*").alias("total"))
+
+
+# ---- batch jobs -----------------------------------------------------------------------------
+
+
+@query(f"""WITH {EVENTS}, x AS (SELECT *, split_part(title, ' ~ ', 1) AS s, {YEAR} AS y FROM events_),
+u AS (SELECT s, location, row_number() OVER (PARTITION BY s ORDER BY count(*) DESC, location) AS r FROM x WHERE location IS NOT NULL AND s <> '5-LOW' AND s <> '1-URGENT' GROUP BY s, location),
+m AS (SELECT s, list_sort(list(y))[CAST(floor(count(y) / 2) AS INTEGER) + 1] AS med FROM x WHERE y IS NOT NULL GROUP BY s)
+SELECT event_id, coalesce(CASE WHEN x.s IN ('5-LOW', '1-URGENT') THEN NULL ELSE x.location END, u.location, CASE WHEN starts_with(x.s, '5-') THEN 'Somewhere' END, CASE WHEN y IS NOT NULL THEN {ERA.format(y='y')} END, CASE WHEN med IS NOT NULL THEN {ERA.format(y='med')} END) AS location
+FROM x LEFT JOIN u ON x.s = u.s AND u.r = 1 LEFT JOIN m ON x.s = m.s""")
+def impute_location(spark, sf_dir):
+    x = events(spark, sf_dir)
+    # Two series without any place, so that every rule has its turn.
+    bare = tx.series(F.col("title")).isin("5-LOW", "1-URGENT")
+    return writer.impute_locations(x.withColumn("location", F.when(~bare, F.col("location"))), (("5-", "Somewhere"),), ERAS).select("event_id", "location")
+
+
+@query(f"""WITH {EVENTS}, m AS (SELECT split_part(title, ' ~ ', 1) AS s, min({YEAR}) AS y FROM events_ WHERE date IS NOT NULL GROUP BY 1)
+SELECT event_id, coalesce(date, CAST(y AS VARCHAR) || '-01-01') AS date FROM events_ LEFT JOIN m ON split_part(title, ' ~ ', 1) = s""")
+def impute_date(spark, sf_dir):
+    return writer.impute_dates(events(spark, sf_dir)).select("event_id", "date")
+
+
+@query("""WITH r AS (SELECT 'light' AS tag, 'light' AS k UNION ALL SELECT 'light', 'tion the' UNION ALL SELECT 'water', 'that of' UNION ALL SELECT 'water', 'thea' UNION ALL SELECT 'way', 'le la' UNION ALL SELECT 'way', 'der die' UNION ALL SELECT 'rare', 'zzzz')
+SELECT DISTINCT doc_id AS event_id, tag FROM documents JOIN r ON contains(lower(coalesce(text, '')), k)""")
+def auto_topic_tags(spark, sf_dir):
+    return writer.topic_tags(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), "text"), TOPICS)
+
+
+def _snapshots(spark, sf_dir):
+    """Documents as they are, and with some gone, some new, some moved and some shortened."""
+    d = read(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    old = d.select(k.alias("event_id"), F.concat(F.lit("doc "), k.cast("string")).alias("title"), F.col("lang").alias("language"), F.col("source").alias("location"), "text")
+    new = d.where(k % 10 != 3).select(
+        k.alias("event_id"), F.concat(F.when(k % 10 == 4, "new ").otherwise("doc "), k.cast("string")).alias("title"), F.col("lang").alias("language"),
+        F.when(k % 10 == 5, "moved").otherwise(F.col("source")).alias("location"), F.when(k % 10 == 6, F.substring("text", 1, 100)).otherwise(F.col("text")).alias("text"),
+    )
+    return [df_.keyed(x, index.chunk_lines(x, "event_id")) for x in (old, new)]
+
+
+@query("""WITH o AS (SELECT doc_id % 10 AS m, text, CASE WHEN length(text) > 100 THEN 1 ELSE 0 END AS long FROM documents),
+x AS (SELECT unnest(CASE WHEN m = 3 THEN ['REMOVED'] WHEN m = 4 THEN ['ADDED', 'REMOVED'] WHEN m = 5 THEN ['MODIFIED'] WHEN m = 6 AND long = 1 AND
+  array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> ''), chr(10)) <> array_to_string(list_filter(list_transform(string_split(substr(text, 1, 100), chr(10)), lambda l: trim(l)), lambda l: l <> ''), chr(10)) THEN ['MODIFIED'] ELSE ['UNCHANGED'] END) AS status FROM o)
+SELECT status, count(*) AS n FROM x GROUP BY status""")
+def snapshot_diff(spark, sf_dir):
+    return df_.status_counts(df_.diff(*_snapshots(spark, sf_dir)))
+
+
+@query("""SELECT doc_id, sha1(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> ''), chr(10))) AS body FROM documents WHERE length(trim(replace(text, chr(10), ' '))) > 0""")
+def body_hashes(spark, sf_dir):
+    return df_.bodies(paragraphs(spark, sf_dir)).select(F.col("event_id").alias("doc_id"), "body")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'replaced' ELSE source END AS source FROM documents WHERE doc_id % 5 <> 1 UNION ALL SELECT doc_id + 100000000, 'added' FROM documents WHERE doc_id % 100 = 0""")
+def upsert_merge(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "source")
+    batch = d.where("doc_id % 7 = 0").withColumn("source", F.lit("replaced")).unionByName(d.where("doc_id % 100 = 0").select((F.col("doc_id") + 100000000).alias("doc_id"), F.lit("added").alias("source")))
+    return writer.delete(writer.upsert(d, batch, "doc_id"), d.where("doc_id % 5 = 1"), "doc_id").where("doc_id < 100000000").unionByName(batch.where("doc_id >= 100000000"))
+
+
+@query("""WITH a AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'add' WHEN doc_id % 3 = 1 THEN 'modify' ELSE 'delete' END AS action, doc_id % 2 = 0 AS known FROM documents)
+SELECT action, CASE WHEN action = 'add' THEN NOT known ELSE known END AS ok, count(*) AS n FROM a GROUP BY 1, 2""")
+def batch_report(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    name = F.concat(F.lit("doc – "), F.col("doc_id").cast("string"))
+    have = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("event_id"), name.alias("title"), F.lit("English").alias("language"))
+    action = F.when(F.col("doc_id") % 3 == 0, "add").when(F.col("doc_id") % 3 == 1, "modify").otherwise("delete")
+    batch = d.select(action.alias("action"), F.concat(F.lit("Doc ~  "), F.col("doc_id").cast("string")).alias("title"), F.lit("en").alias("language"))
+    return writer.plan_batch(have, batch).groupBy("action", F.col("error").isNull().alias("ok")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CASE WHEN lower(trim(lang)) IN ('en', 'eng', 'english') THEN 'English' WHEN lower(trim(lang)) IN ('hi', 'hin', 'hindi') THEN 'Hindi' ELSE lang END AS language, count(*) AS n FROM documents GROUP BY 1""")
+def canonical_languages(spark, sf_dir):
+    return read(spark, sf_dir, "documents").groupBy(tx.canonical_language(F.col("lang")).alias("language")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT conv_id AS event_id, turn AS sequence_number, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next
+FROM conversations WHERE list_contains(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}\\p{Co}\\p{Mn}\\p{Mc}]+'), 'of')""")
+def hit_navigation(spark, sf_dir):
+    hits = search.paragraph_hits(turns(spark, sf_dir), parse("of"))
+    w = W.partitionBy("event_id").orderBy("sequence_number")
+    n = F.col("sequence_number").cast("bigint")
+    return hits.select("event_id", n.alias("sequence_number"), F.lag(n).over(w).alias("previous"), F.lead(n).over(w).alias("next"))
