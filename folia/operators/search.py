@@ -122,11 +122,11 @@ def bm25(paragraphs: DataFrame, query: SearchQuery, titles: DataFrame | None = N
     """(event_id, sequence_number, score): the smaller the better. Statistics are exact over all
     paragraphs; a paragraph's length counts its document's title too."""
     x = paragraphs.select("event_id", "sequence_number", tokens(F.col("content")).alias("tok"))
-    size = F.size("tok")
+    size, where = F.size("tok"), {"content": F.col("tok"), "title": F.col("tok")}
     if titles is not None:
-        x = x.join(titles.select("event_id", F.size(tokens(F.col("title"))).alias("_t")), "event_id", "left")
-        size = size + F.coalesce("_t", F.lit(0))
-    freq = lambda t: phrase_count(t, F.col("tok")) if len(t.words) > 1 else F.size(F.filter("tok", lambda k: fits(t, k)))
+        x = x.join(titles.select("event_id", tokens(F.col("title")).alias("ttok")), "event_id", "left")
+        size, where["title"] = size + F.coalesce(F.size("ttok"), F.lit(0)), F.coalesce("ttok", F.array().cast("array<string>"))
+    freq = lambda t: phrase_count(t, where[t.field]) if len(t.words) > 1 else F.size(F.filter(where[t.field], lambda k: fits(t, k)))
     x = x.select("event_id", "sequence_number", size.alias("len"), *[freq(t).alias(f"f{i}") for i, t in enumerate(query.terms)])
     n = len(query.terms)
     stats = x.agg(F.count("*").alias("N"), F.avg("len").alias("avgdl"), *[F.sum((F.col(f"f{i}") > 0).cast("bigint")).alias(f"n{i}") for i in range(n)])

@@ -1,6 +1,6 @@
 """Versioned snapshots: immutable Parquet folders and a pointer that is replaced at once.
 
-A write goes to a new folder `v=<n>`; readers see it when `_CURRENT` names it. A writer states the
+A write goes to a new folder `v=<n>`; readers see it when `CURRENT` names it. A writer states the
 version it read: if another has published meanwhile, the write is refused. Paths are resolved by
 Hadoop's file systems, so a store may lie wherever the cluster can read and write.
 """
@@ -39,9 +39,9 @@ class Store:
         self._at = lambda p: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{p}")
 
     def version(self) -> int:
-        if not self._fs.exists(self._at("_CURRENT")):
+        if not self._fs.exists(self._at("CURRENT")):
             return 0
-        return int(self.spark.read.text(f"{self.path}/_CURRENT").first()[0])
+        return int(self.spark.read.text(f"{self.path}/CURRENT").first()[0])
 
     def read(self, table: str, schema: T.StructType | None = None, version: int | None = None) -> DataFrame:
         v = self.version() if version is None else version
@@ -57,16 +57,20 @@ class Store:
         new = base + 1
         if not self._fs.mkdirs(self._at(f"v={new}")) or self._fs.exists(self._at(f"v={new}/_LOCK")):
             raise Busy(f"version {new} is being written")
-        self._fs.create(self._at(f"v={new}/_LOCK"), False).close()
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/v={new}/{name}")
-        if self.version() != base:
-            raise Busy(f"version {self.version()} has been published since {base}")
-        out = self._fs.create(self._at("_NEXT"), True)
+        self._fs.create(self._at(f"v={new}/_LOCK"), False).close()  # fails if another was first
+        try:
+            for name, df in tables.items():
+                df.write.mode("overwrite").parquet(f"{self.path}/v={new}/{name}")
+            if self.version() != base:
+                raise Busy(f"version {self.version()} has been published since {base}")
+        except BaseException:
+            self._fs.delete(self._at(f"v={new}"), True)
+            raise
+        out = self._fs.create(self._at("NEXT"), True)
         out.write(bytearray(f"{new}\n".encode()))
         out.close()
-        self._fs.delete(self._at("_CURRENT"), False)
-        self._fs.rename(self._at("_NEXT"), self._at("_CURRENT"))
+        self._fs.delete(self._at("CURRENT"), False)
+        self._fs.rename(self._at("NEXT"), self._at("CURRENT"))
         return new
 
     def copy_to(self, path: str, force: bool = False) -> Store:
