@@ -52,6 +52,7 @@ class Words:
 
     def __init__(self, path: str):
         self.model = Tokenizer.from_file(path)
+        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
