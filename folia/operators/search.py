@@ -222,3 +222,20 @@ def search(paragraphs: DataFrame, q: str, events: DataFrame | None = None, where
             only = title_only(events, query, hits).select("event_id", F.lit(0).cast("bigint").alias("hit_count"), F.lit(0.0).alias("rank"))
             ranked = ranked.unionByName(only)
     return top(ranked, limit, sort, events)
+
+
+def window_hits(paragraphs: DataFrame, query: SearchQuery) -> DataFrame:
+    """(event_id, sequence_number) of paragraphs with a query word inside the document's window."""
+    spans = within(paragraphs, query).select("event_id", "lo", "hi")
+    wanted = lambda t: reduce(lambda a, b: a | b, [fits(k, t) for g in query.groups for k in g])
+    x = analysed(paragraphs).where(~F.col("meta")).join(spans, "event_id")
+    inside = F.exists(F.transform("tok", lambda t, i: wanted(t) & ((i + F.col("base")).between(F.col("lo"), F.col("hi")))), lambda b: b)
+    return x.where(inside).select("event_id", "sequence_number")
+
+
+def trim_too_many(found: DataFrame, total: int, most: int = TOO_MANY) -> DataFrame:
+    """Of a result with more documents than are worth reading: one hit each, without its text.
+    found has hits: array of structs with content."""
+    if total <= most:
+        return found
+    return found.withColumn("hits", F.transform(F.slice("hits", 1, 1), lambda h: h.withField("content", F.lit(None).cast("string"))))

@@ -434,3 +434,49 @@ def hit_navigation(spark, sf_dir):
     w = W.partitionBy("event_id").orderBy("sequence_number")
     n = F.col("sequence_number").cast("bigint")
     return hits.select("event_id", n.alias("sequence_number"), F.lag(n).over(w).alias("previous"), F.lead(n).over(w).alias("next"))
+
+
+@query(f"""WITH {PARA}, l AS (SELECT doc_id, seq, len(w) AS len, len(list_filter(w, lambda x: x = 'worthless')) AS f FROM tok),
+s AS (SELECT count(*) AS n, avg(len) AS avgdl, sum(CASE WHEN f > 0 THEN 1 ELSE 0 END) AS df FROM l),
+x AS (SELECT doc_id, -greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avgdl)) AS score FROM l, s WHERE f > 0)
+SELECT doc_id AS event_id, count(*) AS hit_count, round(min(score), 5) AS best, round(min(score) * greatest(ln(1 + count(*)), 1.0), 5) AS rank FROM x GROUP BY doc_id""")
+def search_boosted_documents(spark, sf_dir):
+    found = search.by_document(search.bm25(paragraphs(spark, sf_dir), parse("worthless")))
+    return found.select("event_id", "hit_count", F.round("best", 5).alias("best"), F.round("rank", 5).alias("rank"))
+
+
+@query(f"""WITH {PARA}{WORDS}{NEAR.format(key='', part='')}, b AS (SELECT doc_id, lo, hi FROM r WHERE n = 1 AND span <= 10)
+SELECT DISTINCT word.doc_id AS event_id, CAST(seq AS INTEGER) AS sequence_number FROM word JOIN b ON word.doc_id = b.doc_id WHERE NOT meta AND t IN ('that', 'with', 'and') AND rp BETWEEN lo AND hi""")
+def search_near_window_paragraphs(spark, sf_dir):
+    return search.window_hits(paragraphs(spark, sf_dir), parse("NEAR(that with and, 10)"))
+
+
+@query(f"WITH {PARA} SELECT doc_id AS event_id, count(*) AS n FROM para GROUP BY doc_id")
+def paragraph_counts(spark, sf_dir):
+    return paragraphs(spark, sf_dir).groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {PARA} SELECT doc_id AS event_id, CAST(seq AS INTEGER) AS sequence_number, trim(regexp_replace(content, '(?i)\\s*all rights reserved\\.?\\s*', '', 'g')) AS cleaned FROM para WHERE regexp_matches(content, '(?i)\\s*all rights reserved\\.?\\s*')""")
+def attribution_clean(spark, sf_dir):
+    pattern = r"(?i)\s*all rights reserved\.?\s*"
+    rows = paragraphs(spark, sf_dir).where(F.col("content").rlike(pattern))
+    return rows.select("event_id", "sequence_number", tx.strip_pattern(F.col("content"), pattern).alias("cleaned"))
+
+
+@query(f"WITH {ROLLUP} SELECT series, talks FROM roll WHERE talks > 10 AND list_contains(string_split(tags, ','), 'NO') AND contains(lower(series), 'h') ORDER BY talks DESC, series")
+def series_filter(spark, sf_dir):
+    roll = _rollup(spark, sf_dir)
+    keep = (F.col("talks") > 10) & F.forall(F.array(F.lit("NO")), lambda t: F.array_contains(F.split("tags", ","), t)) & F.lower("series").contains("h")
+    return roll.where(keep).select("series", "talks").orderBy(F.desc("talks"), "series")
+
+
+@query("""SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def windowed_event_counts(spark, sf_dir):
+    x = read(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return x.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, CASE WHEN url LIKE '%utm_source%' THEN 'feed' ELSE 'plain' END AS role FROM pages")
+def pages_scan(spark, sf_dir):
+    p = read(spark, sf_dir, "pages")
+    return p.select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("host"), F.when(F.col("url").like("%utm_source%"), "feed").otherwise("plain").alias("role"))

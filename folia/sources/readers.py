@@ -144,3 +144,23 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 
 def plain_name(path: str) -> str:
     return re.sub(r"^.*/", "", path)
+
+
+# Language codes of headers and file names.
+LANGUAGE_CODES = {"EN": "English", "HI": "Hindi"}
+
+
+def header_events(headers: DataFrame, key: str = "path") -> DataFrame:
+    """Events of parsed headers: the language from its field, else the file name's `_LXX`, else
+    Unknown; codes become names, other values title case; the short source stays with translations
+    only; `none` and unknown languages of origin pass as they are."""
+    f = lambda name: F.nullif(F.trim(F.col("fields")[name]), F.lit(""))
+    codes = F.create_map(*[F.lit(x) for pair in LANGUAGE_CODES.items() for x in pair])
+    raw = F.coalesce(f("language"), F.nullif(F.regexp_extract(key, r"(?i)_L([A-Za-z]{2})\.docx$", 1), F.lit("")))
+    named = lambda c: F.coalesce(F.try_element_at(codes, F.upper(c)), F.initcap(c))
+    origin = f("translatedfrom")
+    source = F.when(origin.isNotNull() & (F.lower(origin) != "none"), f("sourceshort"))
+    return headers.select(
+        key, f("title").alias("title"), f("time").alias("date"), F.coalesce(named(raw), F.lit("Unknown")).alias("language"),
+        F.coalesce(F.try_element_at(codes, F.upper(origin)), origin).alias("translated_from"), source.alias("source_short"),
+    )

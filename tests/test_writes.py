@@ -110,3 +110,17 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.where(F.col("term") == "two").count() == 2
+
+
+def test_header_events(spark):
+    rows = [("a_LHI.docx", {"title": "T", "translatedfrom": "en", "sourceshort": "B"}), ("b.docx", {"title": "U", "language": "french", "translatedfrom": "none", "sourceshort": "B"}), ("c.docx", {"title": " "})]
+    got = {r.path: tuple(r)[1:] for r in readers.header_events(spark.createDataFrame(rows, "path string, fields map<string,string>")).collect()}
+    assert got == {"a_LHI.docx": ("T", None, "Hindi", "English", "B"), "b.docx": ("U", None, "French", "none", None), "c.docx": (None, None, "Unknown", None, None)}
+
+
+def test_too_many(spark):
+    from folia.operators.search import trim_too_many
+
+    df = spark.createDataFrame([(1, [("x", 1), ("y", 2)])], "event_id int, hits array<struct<content:string,n:int>>")
+    assert len(trim_too_many(df, 500).first().hits) == 2
+    assert [tuple(h) for h in trim_too_many(df, 501).first().hits] == [(None, 1)]
