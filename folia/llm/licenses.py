@@ -143,3 +143,29 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat_ws("/", F.lit("corpus"), "source", F.concat(F.lit("doc-"), "doc_id", F.lit(".txt")))
     out = scan(docs.select("doc_id", path.alias("path"), "text"))
     return out.select("doc_id", "path", "licence", "score", F.array_join("licences", ",").alias("licences"), "inherited", F.coalesce("licence", "inherited").alias("effective"))
+
+
+def oracle(library: Library | None = None) -> str:
+    """SQL for op2_licenses; the templates' weights are a literal table."""
+    library = library or Library()
+    weights = ", ".join(f"('{n}', {i}, '{w}', {v!r})" for n, i, w, v in library.rows)
+    idf = ", ".join(f"('{w}', {v!r})" for w, v in sorted(library.idf.items()))
+    stop = ", ".join(f"'{w}'" for w in FUNCTION_WORDS)
+    return rf"""
+WITH weights(licence, number, term, weight) AS (VALUES {weights}), idf(term, idf) AS (VALUES {idf}),
+s AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;])\s+', '\1' || chr(10), 'g'), chr(10)) AS p, coalesce(text, '') AS t FROM documents),
+seg AS (SELECT doc_id, i AS seg, p[i] AS part FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM s) WHERE regexp_matches(lower(p[i]), 'licens|reserved|permi|affero|gnu|copyright|public|form|softw|redist|program')),
+whole AS (SELECT doc_id, 0 AS seg, t AS part FROM s WHERE doc_id IN (SELECT doc_id FROM seg)),
+tok AS (SELECT doc_id, seg, unnest(list_filter(regexp_extract_all(lower(part), '[\p{{L}}0-9]+(?:\.[0-9]+)*'), lambda w: w NOT IN ({stop}))) AS term FROM (SELECT * FROM seg UNION ALL SELECT * FROM whole)),
+tf AS (SELECT doc_id, seg, term, count(*) AS n FROM tok GROUP BY 1, 2, 3),
+w AS (SELECT doc_id, seg, tf.term, (1 + ln(n)) * coalesce(idf, {library.most!r}) AS w FROM tf LEFT JOIN idf ON tf.term = idf.term),
+norm AS (SELECT doc_id, seg, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1, 2),
+dot AS (SELECT doc_id, seg, licence, number, sum(w * weight) AS d FROM w JOIN weights ON w.term = weights.term GROUP BY 1, 2, 3, 4),
+hit AS (SELECT dot.doc_id, dot.seg, licence, round(d / norm, 6) AS score, row_number() OVER (PARTITION BY dot.doc_id, dot.seg ORDER BY round(d / norm, 6) DESC, licence) AS r FROM dot JOIN norm ON dot.doc_id = norm.doc_id AND dot.seg = norm.seg),
+best AS (SELECT * FROM hit WHERE r = 1 AND score >= {library.threshold}),
+per AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT licence)), ',') AS licences, max(CASE WHEN seg = 0 THEN 1 ELSE 0 END) AS whole FROM best GROUP BY doc_id),
+top AS (SELECT doc_id, licence, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) AS q FROM best) WHERE q = 1),
+owned AS (SELECT source, licence FROM (SELECT source, top.licence, row_number() OVER (PARTITION BY source ORDER BY score DESC, top.licence) AS q FROM documents JOIN top ON documents.doc_id = top.doc_id JOIN per ON per.doc_id = top.doc_id WHERE whole = 1) WHERE q = 1)
+SELECT documents.doc_id, 'corpus/' || documents.source || '/doc-' || CAST(documents.doc_id AS VARCHAR) || '.txt' AS path, top.licence, score, coalesce(licences, '') AS licences, owned.licence AS inherited, coalesce(top.licence, owned.licence) AS effective
+FROM documents LEFT JOIN top ON documents.doc_id = top.doc_id LEFT JOIN per ON documents.doc_id = per.doc_id LEFT JOIN owned ON documents.source = owned.source
+"""

@@ -193,3 +193,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(list_slice(w, s, s + 4), ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS s FROM words WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n, md5(string_agg(h, ',' ORDER BY h)) AS sig FROM sh GROUP BY doc_id),
+first AS (SELECT sig, min(doc_id) AS representative FROM n GROUP BY sig),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.h = b.h WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.b AS node, reach.root FROM reach JOIN l ON l.a = reach.node),
+cls AS (SELECT node, min(root) AS class_id FROM reach GROUP BY node),
+links AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT documents.doc_id, class_id, coalesce(representative, documents.doc_id) AS representative, coalesce(n_links, 0) AS n_links
+FROM documents JOIN cls ON documents.doc_id = node LEFT JOIN links ON documents.doc_id = a LEFT JOIN n ON documents.doc_id = n.doc_id LEFT JOIN first ON n.sig = first.sig
+"""

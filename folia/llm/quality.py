@@ -161,4 +161,37 @@ def quality(docs: DataFrame, labels: DataFrame, policy: Policy = Policy(), strat
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *Policy().rules)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLE = """
+WITH a AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents
+), win AS (
+  SELECT doc_id, s, array_to_string(list_slice(w, s, s + 2), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS s FROM a WHERE len(w) >= 3)
+), twice AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT s + i) AS n FROM (SELECT doc_id, s, unnest(range(0, 3)) AS i FROM twice) GROUP BY doc_id),
+f AS (
+  SELECT a.doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, length(regexp_replace(t, '[^!]', '', 'g')) AS n_bang
+  FROM a LEFT JOIN covered ON a.doc_id = covered.doc_id
+), x AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    coalesce(n_symbols / nullif(word_chars, 0), 0.0) AS r0, coalesce(n_bang / nullif(n_words, 0), 0.0) AS r1, coalesce(n_dup_lines / nullif(n_lines, 0), 0.0) AS r2, coalesce(n_repeat_words / nullif(n_words, 0), 0.0) AS r3 FROM f
+), y AS (SELECT doc_id, min(quality) AS y FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+held AS (SELECT lang, y, r0, r1, r2, r3 FROM x JOIN y ON x.doc_id = y.doc_id WHERE NOT base_failed),
+v AS (SELECT lang, y, 0 AS r, r0 AS v FROM held UNION ALL SELECT lang, y, 1, r1 FROM held UNION ALL SELECT lang, y, 2, r2 FROM held UNION ALL SELECT lang, y, 3, r3 FROM held),
+g AS (SELECT unnest(range(0, 50)) AS i),
+t AS (
+  SELECT lang, r, i, sum(CASE WHEN y >= 1 THEN 1 ELSE 0 END) AS n, sum(CASE WHEN y >= 1 AND v > i / 50.0 THEN 1 ELSE 0 END) AS k, sum(CASE WHEN y < 1 AND v > i / 50.0 THEN 1 ELSE 0 END) AS bad
+  FROM v, g GROUP BY lang, r, i
+), tail AS (
+  SELECT *, CASE WHEN n = 0 OR k >= 0.0125 * n THEN 1.0 ELSE list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.0125) + (n - j) * ln(0.9875)))) END AS p FROM t
+), ok AS (SELECT *, max(p) OVER (PARTITION BY lang, r ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 0.05 / (4 * (SELECT count(DISTINCT coalesce(lang, chr(0))) FROM held)) AS ok FROM tail),
+best AS (SELECT lang, r, i, row_number() OVER (PARTITION BY lang, r ORDER BY bad - 4 * k DESC, i DESC) AS q FROM ok WHERE ok AND bad - 4 * k > 0),
+cuts AS (SELECT lang, max(CASE WHEN r = 0 THEN i END) AS c0, max(CASE WHEN r = 1 THEN i END) AS c1, max(CASE WHEN r = 2 THEN i END) AS c2, max(CASE WHEN r = 3 THEN i END) AS c3 FROM best WHERE q = 1 GROUP BY lang)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT (coalesce(r0 > c0 / 50.0, false) OR coalesce(r1 > c1 / 50.0, false) OR coalesce(r2 > c2 / 50.0, false) OR coalesce(r3 > c3 / 50.0, false)) AS kept
+FROM x LEFT JOIN cuts ON x.lang IS NOT DISTINCT FROM cuts.lang
+"""

@@ -157,7 +157,7 @@ def fit(labelled: DataFrame, limit: int = TRAIN_ROWS) -> Trees:
     seen, bad = Counter(_suffix(r["h"]) for r in rows), Counter(_suffix(r["h"]) for r in rows if r["label"])
     mean = sum(bad.values()) / max(1, len(rows))
     suffixes = {s: (float(n), (bad[s] + 20 * mean) / (n + 20)) for s, n in seen.items()} | {"": (0.0, mean)}
-    x = np.array([lexical(r["url"], r["h"], r["p"], suffixes) for r in rows], float).reshape(len(rows), -1)
+    x = np.array([lexical(r["url"], r["h"], r["p"], suffixes) for r in rows], float)
     return boost(x, np.array([float(r["label"]) for r in rows]), suffixes)
 
 
