@@ -25,10 +25,10 @@ MIN_SCORE = 0.3
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     policy = quality.Policy()
-    scored = cut(quality.features(docs.select("doc_id", "text", "lang")), "quality")
+    # Features are written with the rows: the verdict then is a plain filter on a narrow read.
+    scored = cut(quality.features(docs.select("doc_id", "text", "lang", F.struct(*COLUMNS).alias("_doc"))), "quality")
     chosen = cut(quality.cutoffs(scored, table(spark, sf_dir, "labels"), policy), "cutoffs")
-    again = quality.features(docs.select(F.struct(*COLUMNS).alias("_doc"), "lang", "text"))
-    return quality.judge(again, chosen, policy).where("kept").select("_doc.*")
+    return quality.judge(scored, chosen, policy).where("kept").select("_doc.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
