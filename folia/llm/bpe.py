@@ -19,9 +19,10 @@ from __future__ import annotations
 
 import base64
 import re
-from functools import cache
+from functools import cache, cached_property
 from itertools import islice
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -49,6 +50,9 @@ class Prefixes:
     def append(self, more: bytes) -> None:
         done = len(self.data)
         self.data += more
+        if not done:
+            self.last = self.bpe.all_last(more)
+            return
         self.last += [-1] * len(more)
         for i in range(done, len(self.data)):
             self.last[i] = self.bpe.last(self.data, self.last, i + 1)
@@ -84,6 +88,16 @@ class Bpe:
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.alone: dict[int, bool] = {}
+        self.split: dict[int, tuple[int, int]] = {}
+
+    @cached_property
+    def ends(self) -> ahocorasick.Automaton:
+        """All tokens; built where text is encoded, not where ids are decoded."""
+        out = ahocorasick.Automaton()
+        for b, i in self.ranks.items():
+            out.add_word(b.decode("latin-1"), (i, len(b)))
+        out.make_automaton()
+        return out
 
     def merged(self, data: bytes) -> list[int]:
         """Plain merging, lowest rank first; for the few bytes of a pair of tokens."""
@@ -95,19 +109,56 @@ class Bpe:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def reached(self, t: int) -> bool:
+        """Does merging the token's bytes give the token?"""
+        if (known := self.alone.get(t)) is None:
+            known = self.alone[t] = self.merged(self.bytes[t]) == [t]
+        return known
+
+    def halves(self, t: int) -> tuple[int, int]:
+        """The two tokens whose merge makes t; (t, t) for a single byte."""
+        if (known := self.split.get(t)) is None:
+            parts = [self.bytes[t][i : i + 1] for i in range(len(self.bytes[t]))]
+            while len(parts) > 2:
+                at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))[1]
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            known = self.split[t] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 and self.reached(t) else (t, t)
+        return known
+
     def meet(self, a: int, b: int) -> bool:
         """May token a stand before token b?"""
         key = a << 32 | b
         if (known := self.pairs.get(key)) is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
+            known = self.pairs[key] = self._meet(a, b)
         return known
 
-    def reached(self, t: int) -> bool:
-        if (known := self.alone.get(t)) is None:
-            known = self.alone[t] = self.merged(self.bytes[t]) == [t]
-        return known
+    def _meet(self, a: int, b: int) -> bool:
+        """Undo the merges of both, the latest first; they may not stand together if at some moment
+        the parts that touched would have merged before the merge that is being undone."""
+        before = 1 << 40  # merges of lower rank were made by then
+        while True:
+            joint = self.ranks.get(self.bytes[a] + self.bytes[b])
+            if joint is not None and joint < before:
+                return False
+            left, right = self.halves(a)[1], self.halves(b)[0]
+            if left == a and right == b:
+                return True
+            if right == b or (left != a and a > b):
+                before, a = a, left
+            else:  # of equal ranks the left merge was made first
+                before, b = b + 1, right
+
+    def all_last(self, data: bytes) -> list[int]:
+        """last of every prefix; an automaton yields the tokens that end at each byte."""
+        out, meet = [-1] * len(data), self.meet
+        for end, (t, n) in self.ends.iter(data.decode("latin-1")):
+            if out[end] < 0:
+                start = end + 1 - n
+                if meet(out[start - 1], t) if start else self.reached(t):
+                    out[end] = t
+        return out
 
     def last(self, data: bytes, last: list[int], end: int) -> int:
         """The last token of data[:end], given those of the shorter prefixes."""
