@@ -8,12 +8,13 @@ each symbol carries the span of words on which its making depended, neighbours t
 included (a document's edge counts as outside). A symbol whose span lies inside a window of n words
 appears in every equal window at the same place.
 
-1. Every window picks its anchor: of the symbols certain in it, the longest, ties by hash. Anchors
+1. Copies of whole texts under a smaller doc_id are set aside: all their windows are repeats.
+2. Every window picks its anchor: of the symbols certain in it, the longest, ties by hash. Anchors
    are shuffled by name; names with two occurrences or more are the shared high-level symbols.
-2. Windows with a shared anchor (or none) are candidates. A window with an earlier twin always is
-   one, so nothing is lost. They are verified by 128-bit hashes of all their n words: after a shuffle
+3. Windows with a shared anchor (or none) are candidates. A window with an earlier twin always is
+   one, so nothing is lost. They are verified by 96-bit hashes of all their n words: after a shuffle
    by hash, all but the first in order of (doc_id, start) are repeats.
-3. Words covered by a repeat are removed.
+4. Words covered by a repeat are removed.
 
 Streams over sorted partitions find the runs of equal names, so no group is held in memory, however
 often a passage occurs. No table of symbols is collected.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folia.llm.batches import in_python, ship
-from folia.llm.common import split_words, table
+from folia.llm.common import cut, split_words, table
 from folia.llm.shingles import WordHashes, constants, mix
 
 WINDOW, ROUNDS, FROM = 20, 4, 2
@@ -61,24 +62,30 @@ class Slab:
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per word: the anchor of the window that starts there (0: none). And name and document of
-        all symbols that are certain in some window."""
-        n, best = self.n, np.zeros(len(self.h), np.int64)
-        names, docs = [], []
-        for level, (sym, doc, a, b, left, right) in enumerate(recompress(self.h, self.doc, ROUNDS), 1):
-            if level < FROM:
-                continue
+        all symbols that may have been picked. The first level that counts stands in only where no
+        symbol of a later one is certain."""
+        n, rounds = self.n, list(enumerate(recompress(self.h, self.doc, ROUNDS), 1))
+        best, names, docs = np.zeros(len(self.h), np.int64), [], []
+        for level, (sym, doc, a, b, left, right) in [*rounds[FROM:], rounds[FROM - 1]]:
             low, high = np.maximum(right - n, self.lo[a]), np.minimum(left, self.hi[a] - n)
             some = low <= high
+            if level == FROM:
+                bare = np.concatenate(([0], np.cumsum(best == 0)))
+                some[some] = bare[high[some] + 1] > bare[low[some]]
+                held = best != 0
             low, high = low[some], high[some]
             key = (np.minimum(b - a, 31)[some] << 58) | (mix(sym[some] + of_round(level, _ROUND)) >> np.uint64(6)).astype(np.int64)
             names.append(key)
             docs.append(doc[some])
+            into = np.zeros(len(self.h), np.int64) if level == FROM else best
             left_over = np.arange(len(key))
             for t in range(n):
                 left_over = left_over[low[left_over] + t <= high[left_over]]
                 if not len(left_over):
                     break
-                np.maximum.at(best, low[left_over] + t, key[left_over])
+                np.maximum.at(into, low[left_over] + t, key[left_over])
+            if level == FROM:
+                best = np.where(held, best, into)
         return best, np.concatenate(names), np.concatenate(docs)
 
     def window_hashes(self, seed: int) -> np.ndarray:
@@ -127,7 +134,8 @@ def recompress(h: np.ndarray, doc: np.ndarray, rounds: int):
 
 
 def anchor_rows(docs: DataFrame, n: int) -> DataFrame:
-    """(name, k, many): the anchors of each document; many: the document has the symbol twice."""
+    """(name, j, many): the anchors of each document; many: the document has the symbol twice.
+    Windows without an anchor count as an anchor 0 that always is shared."""
 
     def make():
         hashes = WordHashes()
@@ -135,97 +143,107 @@ def anchor_rows(docs: DataFrame, n: int) -> DataFrame:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             s = Slab(batch.column("text").to_pylist(), hashes, n)
             best, names, owners = s.anchors()
-            anchored = s.starts[best[s.starts] != 0]
-            own, at = np.unique(mix(best[anchored].view(np.uint64)) ^ s.salt(s.doc[anchored]), return_index=True)
+            own, at = np.unique(mix(best[s.starts].view(np.uint64)) ^ s.salt(s.doc[s.starts]), return_index=True)
+            at = s.starts[at]
             all_of, times = np.unique(mix(names.view(np.uint64)) ^ s.salt(owners), return_counts=True)
-            many = times[np.searchsorted(all_of, own)] > 1 if len(own) else np.zeros(0, bool)
-            at = anchored[at]
-            k = batch.column("k").to_numpy()[s.doc[at]]
-            return pa.record_batch([pa.array(best[at]), pa.array(k), pa.array(many)], ["name", "k", "many"])
+            place = np.minimum(np.searchsorted(all_of, own), max(0, len(all_of) - 1))
+            many = (best[at] == 0) | (times[place] > 1) if len(all_of) else best[at] == 0
+            return pa.record_batch([pa.array(best[at]), pa.array(batch.column("j").to_numpy()[s.doc[at]]), pa.array(many)], ["name", "j", "many"])
 
         return work
 
-    return in_python(docs.select("k", "text"), make, "name bigint, k bigint, many boolean", rows=256)
+    return in_python(docs, make, "name bigint, j bigint, many boolean", rows=256)
 
 
 def shared_names(anchors: DataFrame) -> DataFrame:
-    """(k, names): each document's anchors that occur twice or more. Sorted streams; one row waits."""
+    """(j, names): each document's anchors that occur twice or more. Sorted streams; one row waits."""
 
     def run(batches):
         held = None  # the last row and whether its twin came before it
         for b in batches:
-            name, k, many = (b.column(c).to_numpy(zero_copy_only=False) for c in ("name", "k", "many"))
+            name, j, many = (b.column(c).to_numpy(zero_copy_only=False) for c in ("name", "j", "many"))
             if held:
-                name, k, many = np.append(held[0], name), np.append(held[1], k), np.append(held[2], many)
+                name, j, many = np.append(held[0], name), np.append(held[1], j), np.append(held[2], many)
             if not len(name):
                 continue
             same = name[1:] == name[:-1]
             many = many.astype(bool)
             many[1:] |= same
             many[:-1] |= same
-            held = (name[-1], k[-1], many[-1])
+            held = (name[-1], j[-1], many[-1])
             out = np.flatnonzero(many[:-1])
-            yield pa.record_batch([pa.array(k[out]), pa.array(name[out])], ["k", "name"])
+            yield pa.record_batch([pa.array(j[out]), pa.array(name[out])], ["j", "name"])
         if held and held[2]:
-            yield pa.record_batch([pa.array([held[1]], pa.int64()), pa.array([held[0]], pa.int64())], ["k", "name"])
+            yield pa.record_batch([pa.array([held[1]], pa.int64()), pa.array([held[0]], pa.int64())], ["j", "name"])
 
     ship(anchors.sparkSession)
     dealt = anchors.repartition("name").sortWithinPartitions("name")
-    return dealt.mapInArrow(run, "k bigint, name bigint").groupBy("k").agg(F.collect_list("name").alias("names"))
+    return dealt.mapInArrow(run, "j bigint, name bigint").groupBy("j").agg(F.collect_list("name").alias("names"))
 
 
-def candidates(docs: DataFrame, shared: DataFrame, n: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(h1, h2, k, place): windows that may have a twin. place: start, then 32 bits of the text's hash."""
+def candidates(docs: DataFrame, shared: DataFrame, n: int) -> DataFrame:
+    """(h1, h2, k, place): windows that may have a twin. h2: 32 more bits of hash before 32 of the
+    text's; place: start."""
 
     def make():
         hashes = WordHashes()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            s = Slab(batch.column("text").to_pylist(), hashes, n)
+            lists = batch.column("names").to_pylist()
+            s = Slab([t if x else None for t, x in zip(batch.column("text").to_pylist(), lists, strict=True)], hashes, n)
             best = s.anchors()[0][s.starts]
             doc = s.doc[s.starts]
-            lists = batch.column("names").to_pylist()
             shown = [mix(np.array(x, np.int64).view(np.uint64)) ^ s.salt(np.array([i])) for i, x in enumerate(lists) if x]
             mine = mix(best.view(np.uint64)) ^ s.salt(doc)
-            s.starts = s.starts[(best == 0) | np.isin(mine, np.concatenate(shown) if shown else np.zeros(0, np.uint64))]
+            s.starts = s.starts[np.isin(mine, np.concatenate(shown) if shown else np.zeros(0, np.uint64))]
             doc = s.doc[s.starts]
-            place = (s.starts - s.first[doc] << 32) | batch.column("t").to_numpy()[doc]
-            cols = [s.window_hashes(41).view(np.int64), s.window_hashes(42).view(np.int64), batch.column("k").to_numpy()[doc], place]
+            h2 = (s.window_hashes(42) & np.uint64(0xFFFFFFFF00000000)).view(np.int64) | batch.column("t").to_numpy()[doc]
+            cols = [s.window_hashes(41).view(np.int64), h2, batch.column("k").to_numpy()[doc], (s.starts - s.first[doc]).astype(np.int32)]
             return pa.record_batch([pa.array(c) for c in cols], ["h1", "h2", "k", "place"])
 
         return work
 
-    joined = docs.join(shared, "k", "left").select("k", "t", "doc_id", "text", *carry, "names")
-    return in_python(joined, make, "h1 bigint, h2 bigint, k bigint, place bigint", rows=256)
+    # All columns, as in removed(): both joins then share one shuffle of the texts.
+    joined = docs.join(shared, "j").select(*docs.columns, "names")
+    return in_python(joined, make, "h1 bigint, h2 bigint, k bigint, place int", rows=256)
 
 
 def repeats(windows: DataFrame) -> DataFrame:
-    """(k, places): each document's windows that start earlier elsewhere."""
+    """(j, places): each document's windows that start earlier elsewhere."""
 
     def run(batches):
         lead = None  # hash, document and start of the first of the current run
         for b in batches:
             if not b.num_rows:
                 continue
-            h1, h2, k, place = (b.column(c).to_numpy() for c in ("h1", "h2", "k", "place"))
-            start = place >> 32
+            h1, h2, k, start = (b.column(c).to_numpy() for c in ("h1", "h2", "k", "place"))
+            t, h2 = h2 & 0xFFFFFFFF, h2 >> 32
+            whose, at = k, start
             if lead:
                 h1, h2, k, start = np.append(lead[0], h1), np.append(lead[1], h2), np.append(lead[2], k), np.append(lead[3], start)
             new = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
             head = np.flatnonzero(new)[np.cumsum(new) - 1]
             later = (k != k[head]) | (start != start[head])
             lead = tuple(x[head[-1]] for x in (h1, h2, k, start))
-            extra = len(k) - b.num_rows
-            later = later[extra:]
-            yield pa.record_batch([pa.array(k[extra:][later]), pa.array(place[later])], ["k", "place"])
+            later = later[len(k) - b.num_rows :]
+            yield pa.record_batch([pa.array(whose[later]), pa.array(t[later]), pa.array(at[later])], ["k", "t", "place"])
 
     ship(windows.sparkSession)
-    dealt = windows.repartition("h1").sortWithinPartitions("h1", "h2", "k", "place")
-    return dealt.mapInArrow(run, "k bigint, place bigint").groupBy("k").agg(F.collect_list("place").alias("places"))
+    dealt = windows.repartition("h1").sortWithinPartitions("h1", F.shiftright("h2", 32), "k", "place")
+    found = dealt.mapInArrow(run, "k bigint, t bigint, place int")
+    return found.groupBy(F.xxhash64("k", "t").alias("j")).agg(F.collect_list("place").alias("places"))
 
 
-def removed(docs: DataFrame, found: DataFrame, n: int, carry: tuple[str, ...] = (), original: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): texts without the words that a repeat covers."""
+def copies(docs: DataFrame) -> DataFrame:
+    """(j): documents of which the whole text stands under a smaller doc_id. Narrow rows alone."""
+    x = docs.where("text IS NOT NULL").select("j", "k", F.md5(F.encode("text", "UTF-8")).alias("m"))
+    first = x.groupBy("m").agg(F.min("k").alias("first"), F.count("*").alias("c")).where("c > 1").select("m", "first")
+    return x.join(first, "m").where("k > first").select("j").distinct()
+
+
+def removed(docs: DataFrame, found: DataFrame, whole: DataFrame, n: int, carry: tuple[str, ...] = (), original: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept): texts without the words that a repeat covers; of a copy
+    (whole), which has a repeat at every place, none stays if it has n words or more."""
     kinds = dict(docs.dtypes)
     extra = [*carry, *(["text"] if original else [])]
     names = ["doc_id", "n_words", "n_removed", "kept", *carry, *(["original"] if original else [])]
@@ -233,16 +251,19 @@ def removed(docs: DataFrame, found: DataFrame, n: int, carry: tuple[str, ...] =
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             size, gone, kept = [], [], []
-            for t, tag, places in zip(*(batch.column(c).to_pylist() for c in ("text", "t", "places")), strict=True):
+            for t, places, copy in zip(*(batch.column(c).to_pylist() for c in ("text", "places", "copy")), strict=True):
                 words, out = split_words(t), None
+                size.append(len(words))
+                if copy and len(words) >= n:
+                    gone.append(len(words))
+                    kept.append("")
+                    continue
                 if places:
-                    p = np.array(places, np.int64)
+                    starts = np.array(places, np.int64)
                     edge = np.zeros(len(words) + n + 1, np.int64)
-                    starts = p[(p & 0xFFFFFFFF) == tag] >> 32
                     np.add.at(edge, starts, 1)
                     np.add.at(edge, starts + n, -1)
                     out = np.cumsum(edge)[: len(words)] > 0
-                size.append(len(words))
                 gone.append(int(out.sum()) if out is not None else 0)
                 kept.append(" ".join(words if out is None else [words[i] for i in np.flatnonzero(~out)]))
             cols = [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())]
@@ -250,8 +271,7 @@ def removed(docs: DataFrame, found: DataFrame, n: int, carry: tuple[str, ...] =
 
         return work
 
-    # The same columns as candidates() reads, so that both joins share one shuffle of the texts.
-    joined = docs.join(found, "k", "left").select("k", "t", "doc_id", "text", *carry, "places")
+    joined = docs.join(found, "j", "left").join(whole.withColumn("copy", F.lit(True)), "j", "left").select(*docs.columns, "places", "copy")
     kept = [f"`{c}` {kinds[c]}" for c in carry] + (["original string"] if original else [])
     return in_python(joined, make, ", ".join(["doc_id bigint, n_words bigint, n_removed bigint, kept string", *kept]), rows=256)
 
@@ -261,9 +281,11 @@ def substring_dedup(docs: DataFrame, n: int = WINDOW, text: str = "text", key: s
     and, if asked for, the original text."""
     k = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63) + 1))
     tag = F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))
-    docs = docs.select(k.alias("k"), tag.alias("t"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *carry)
-    shared = shared_names(anchor_rows(docs, n))
-    return removed(docs, repeats(candidates(docs, shared, n, carry)), n, carry, original)
+    docs = docs.select(F.xxhash64(k, tag).alias("j"), k.alias("k"), tag.alias("t"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *carry)
+    # A copy's windows all start earlier elsewhere, so it is nobody's first occurrence.
+    whole = cut(copies(docs), "copies")
+    shared = shared_names(anchor_rows(docs.select("j", "text").join(whole, "j", "left_anti"), n))
+    return removed(docs, repeats(candidates(docs, shared, n)), whole, n, carry, original)
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
