@@ -39,7 +39,7 @@ RULES = (
     ("block", "org", "/es/"),
 )
 # Names of hosts that the seed labels as to be blocked.
-SEED_BLOCK = ("casino-win", "cheap-pills", "spam-farm")
+SEED_BLOCK = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 TRAIN_ROWS, TREES, DEPTH, RATE, BINS, LEAF = 20_000, 40, 3, 0.2, 32, 20.0
 
 
