@@ -1,15 +1,19 @@
 """Operator 2, licence scans: sparse TF-IDF cosine to templates, inheritance from directories.
 
-Every sentence of the text that could match a template is compared (headers); a document that has
-one is also compared as a whole (licence file). Term weights are (1 + ln tf) x idf with idf over the
-templates' own collection; function words are no terms; terms that no template has get the greatest
-idf, so prose lowers the cosine. The vectors are rows (segment, term), joined with the templates'
+Compared is whatever could match a template: sentences of single lines, paragraphs with their lines
+joined and the sentences of these (headers, wrapped or not), and the text as a whole (licence file).
+A line without letters and digits, such as an empty comment line, ends a paragraph. Term weights are
+(1 + ln tf) x idf with idf over TEMPLATES; function words are no terms; terms that TEMPLATES don't
+have get the greatest idf, so prose lowers the cosine. NOTICES are further templates, the complete
+paragraphs of headers, weighed by the same idf. The vectors are rows (segment, term), joined with the templates'
 rows, a table of constant size.
 
-Sentences are filtered before that without loss. A template's cosine with a text is at most the norm
+These units are filtered before that without loss. A template's cosine with a text is at most the norm
 of its weights for the terms they share. Each template contributes so many of its heaviest terms
-that its other weights and the heaviest stay below the threshold together: a sentence with fewer
-than two of these anchors can't match any template.
+that its other weights and the heaviest stay below the threshold together: a unit with fewer than
+two of these anchors can't match any template. Nor can one with many other words: with c occurrences
+of templates' terms and d distinct terms that no template has, the cosine's square is at most
+1.4716 c / (1.4716 c + d), because (1 + ln tf)^2 <= (4 / e) tf and no term's idf exceeds that of the d.
 
 A document is a licence file if it matches as a whole, or matches at all and is named like one. Each
 directory's licence is that of its best licence file; every directory then takes the licence of its
@@ -33,6 +37,9 @@ from folia.llm.common import cut, table
 
 THRESHOLD = 0.75
 TOKEN = r"[\p{L}0-9]+(?:\.[0-9]+)*"
+SENTENCE = r"\n|(?<=[.!?;])\s+"
+#: Between paragraphs: lines without letters and digits. Words that begin comment lines in some languages.
+PARAGRAPH, COMMENT_WORD = r"\n(?:[^\p{L}0-9\n]*\n)+", r"(?m)^[ \t]*(?:dnl|REM)\b"
 FILE_NAME = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense)(?:[.-][^/]*)?$"
 
 # Words that are no terms.
@@ -66,29 +73,49 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_NO_WARRANTY = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details."
+_REDISTRIBUTION = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+
+# Complete paragraphs of the usual headers.
+NOTICES = (
+    *((name, text.format(title, version)) for name, title, version in (("AGPL-3.0", "Affero General Public License", 3), ("GPL-2.0", "General Public License", 2), ("GPL-3.0", "General Public License", 3), ("LGPL-3.0", "Lesser General Public License", 3)) for text in (_GNU, f"{_GNU} {_NO_WARRANTY}")),
+    ("Apache-2.0", _APACHE),
+    ("BSD-2-Clause", _REDISTRIBUTION),
+    ("BSD-3-Clause", f"{_REDISTRIBUTION} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+)
+
 
 def terms(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda w: ~w.isin(*FUNCTION_WORDS))
 
 
 class Library:
-    """The templates' weights: (name, number, term, weight), norms to 1; idf of known terms."""
+    """The templates' weights: (name, number, term, weight), norms to 1; idf of known terms. Rows of
+    templates come first; `all_rows` also has those of the notices."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD):
-        found = [Counter(w for w in re.findall(r"[^\W_]+(?:\.[0-9]+)*", t.lower()) if w not in FUNCTION_WORDS) for _, t in templates]
-        have = Counter(w for f in found for w in f)
+    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, notices: tuple[tuple[str, str], ...] = NOTICES):
+        found = [Counter(w for w in re.findall(r"[^\W_]+(?:\.[0-9]+)*", t.lower()) if w not in FUNCTION_WORDS) for _, t in (*templates, *notices)]
+        have = Counter(w for f in found[: len(templates)] for w in f)
         self.most = math.log(1 + len(templates)) + 1
         self.idf = {w: math.log((1 + len(templates)) / (1 + n)) + 1 for w, n in have.items()}
-        self.rows, anchors = [], set()
-        for i, ((name, _), f) in enumerate(zip(templates, found, strict=True)):
-            weight = {w: (1 + math.log(n)) * self.idf[w] for w, n in f.items()}
+        self.all_rows, anchors = [], set()
+        for i, ((name, _), f) in enumerate(zip((*templates, *notices), found, strict=True)):
+            weight = {w: (1 + math.log(n)) * self.idf.get(w, self.most) for w, n in f.items()}
             norm = math.sqrt(sum(v * v for v in weight.values()))
             rest, most = 1.0, (max(weight.values()) / norm) ** 2
             for w, v in sorted(weight.items(), key=lambda x: (-x[1], x[0])):
-                self.rows.append((name, i, w, v / norm))
+                self.all_rows.append((name, i, w, v / norm))
                 if rest + most >= 0.99 * threshold**2:
                     anchors.add(w)
                     rest -= (v / norm) ** 2
+        self.terms = sorted({w for f in found for w in f})
+        self.rows = [r for r in self.all_rows if r[1] < len(templates)]
         self.threshold = threshold
         self.anchors = rf"(?iu)(?<![\p{{L}}0-9])(?:{'|'.join(re.escape(w) for w in sorted(anchors))})(?![\p{{L}}0-9])"
 
@@ -97,15 +124,25 @@ def matches(docs: DataFrame, library: Library, text: str = "text") -> DataFrame:
     """docs without text, with licence, score, licences (all that pass), whole (matches as a whole)."""
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c != text]
-    sentences = F.split(F.coalesce(F.col(text), F.lit("")), r"\n|(?<=[.!?;])\s+")
-    near = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_lines", F.filter(sentences, lambda s: F.regexp_count(s, F.lit(library.anchors)) >= 2))
-    parts = F.concat("_lines", F.array(F.col(text)))
-    cut_up = cut(near.select("_row", *keep, F.when(F.size("_lines") > 0, parts).alias("_parts")), "licences")
-    segments = cut_up.where(F.col("_parts").isNotNull()).select("_row", F.posexplode("_parts").alias("seg", "part"), (F.size("_parts") - 1).alias("last"))
-    tf = segments.select("_row", "seg", (F.col("seg") == F.col("last")).alias("whole"), F.explode(terms(F.col("part"))).alias("term")).groupBy("_row", "seg", "whole", "term").agg(F.count("*").alias("tf"))
+    near = lambda s: F.regexp_count(s, F.lit(library.anchors)) >= 2
+    sentences = lambda s: F.filter(F.split(s, SENTENCE), near)
+    paragraphs = F.filter(F.split(F.regexp_replace(F.col(text), COMMENT_WORD, ""), PARAGRAPH), near)
+    joined = F.transform(paragraphs, lambda p: F.regexp_replace(p, r"\n[^\p{L}0-9]*", " "))
+    units = F.concat(sentences(F.col(text)), F.flatten(F.transform("_joined", sentences)), "_joined")
+    x = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_near", F.coalesce(near(F.col(text)), F.lit(False)))
+    x = x.withColumn("_joined", F.when(F.col("_near"), joined))
+    # Most texts with anchors are prose: the bound drops them before anything is written.
+    known, room = F.array(*[F.lit(w) for w in library.terms]), 4 / math.e * (1 / (0.99 * library.threshold**2) - 1)
+    some = lambda w: F.size(F.array_except(w, known)) <= room * F.size(F.filter(w, lambda t: t.isin(*library.terms)))
+    part = lambda p, whole: F.struct(p.alias("part"), F.lit(whole).alias("whole"), terms(p).alias("terms"))
+    every = F.concat(F.transform(F.array_distinct(units), lambda p: part(p, False)), F.array(part(F.col(text), True)))
+    parts = F.when(F.col("_near"), F.transform(F.filter(every, lambda p: some(p["terms"])), lambda p: F.struct(p["part"].alias("part"), p["whole"].alias("whole"))))
+    cut_up = cut(x.select("_row", *keep, parts.alias("_parts")), "licences")
+    segments = cut_up.where(F.size("_parts") > 0).select("_row", F.posexplode("_parts").alias("seg", "p"))
+    tf = segments.select("_row", "seg", "p.whole", F.explode(terms(F.col("p.part"))).alias("term")).groupBy("_row", "seg", "whole", "term").agg(F.count("*").alias("tf"))
     # Constant size: the terms of the templates.
     idf = F.broadcast(spark.createDataFrame(sorted(library.idf.items()), "term string, idf double"))
-    weights = F.broadcast(spark.createDataFrame(library.rows, "licence string, number int, term string, weight double"))
+    weights = F.broadcast(spark.createDataFrame(library.all_rows, "licence string, number int, term string, weight double"))
     weighed = tf.join(idf, "term", "left").select("_row", "seg", "whole", "term", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(library.most))).alias("w"))
     norms = weighed.groupBy("_row", "seg", "whole").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighed.join(weights, "term").groupBy("_row", "seg", "licence", "number").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import struct
+import textwrap
 import zlib
 from pathlib import Path
 
@@ -129,6 +130,20 @@ def test_licence_cosines_and_filter_against_brute_force(spark):
         assert got[i] == ((best[1], -best[0]) if -best[0] >= library.threshold else (None, None))
 
 
+def test_wrapped_licences(spark):
+    """Notices over several lines, as comments and within longer files."""
+    code = "\n\n" + "\n".join(f"value{i} = compute{i}(other{i})" for i in range(200)) + "\n"
+    wrap = lambda t, lead, width=60: "\n".join(lead + line for line in textwrap.wrap(t, width))
+    gpl, mit, bsd = (next(t for n, t in licenses.NOTICES if n == name) for name in ("GPL-3.0", "MIT", "BSD-3-Clause"))
+    rows = [
+        ("Released under\nthe MIT\nLicense.", "MIT", True), ("All rights\nreserved.", "All-Rights-Reserved", True), ("x = 1\n\nReleased under\nthe MIT\nLicense." + code, "MIT", False),
+        (f"# main.py\n#\n{wrap(gpl, '# ')}\n#\n{code}", "GPL-3.0", False), (f"/*\n *\n{wrap(mit, ' * ')}\n */{code}", "MIT", False), (f"// Copyright 2020 A\n//\n{wrap(bsd, '// ')}\n{code}", "BSD-3-Clause", False),
+        (f"dnl\n{wrap(gpl, 'dnl ')}\n{code}", "GPL-3.0", False), (mit + code, "MIT", False), (gpl + code, "GPL-3.0", False), (code, None, False), (None, None, False),
+    ]
+    got = {r.i: (r.licence, r.whole) for r in licenses.matches(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "i int, text string"), licenses.Library()).collect()}
+    assert got == {i: (name, whole) for i, (_, name, whole) in enumerate(rows)}
+
+
 def test_language(spark, docs, empty):
     de = "der die das und mit nicht auf eine kleine Straße über Häuser"
     en = "the and with not upon little street over houses there this"
