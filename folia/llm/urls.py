@@ -8,6 +8,8 @@ depth, digit ratio, entropy, parameter counts, hyphens, labels, and statistics o
 features, so a host that was never seen is judged by its shape.
 
 Training is on a bounded sample of labelled URLs, TRAIN_ROWS at most (the lowest hashes of the URL).
+Each kind's rows weigh as much as all labelled URLs of the kind, so the prior is the table's own at any
+size. The suffixes' statistics are counts over all labelled URLs, a table that is joined.
 The query's labels are by seed: hosts with a name of SEED_BLOCK are to be blocked, the others not;
 urls whose hash falls in the held-out quarter aren't learned from.
 
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folia.llm.batches import in_python
-from folia.llm.common import table
+from folia.llm.common import cut, table
 
 # The contract's rules.
 RULES = (
@@ -70,16 +72,11 @@ def _entropy(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
 
 
-def _suffix(h: str) -> str:
-    return h.rpartition(".")[2]
-
-
-def lexical(url: str, h: str, p: str, suffixes: dict[str, tuple[float, float]]) -> list[float]:
+def lexical(url: str, h: str, p: str, seen: float, share: float) -> list[float]:
     query = url.partition("?")[2].partition("#")[0]
     parts = [x for x in p.split("/") if x]
     labels = h.split(".")
     digits = sum(c.isdigit() for c in url)
-    seen, share = suffixes.get(_suffix(h), (0.0, suffixes.get("", (0.0, 0.0))[1]))
     return [
         len(url), len(h), len(p), len(query), len(parts), digits / max(1, len(url)), sum(c.isdigit() for c in h) / max(1, len(h)),
         _entropy(h), _entropy(p), query.count("=") if query else 0, h.count("-"), p.count("-"), len(labels), max(map(len, labels)),
@@ -91,7 +88,6 @@ def lexical(url: str, h: str, p: str, suffixes: dict[str, tuple[float, float]])
 class Trees:
     base: float
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # features, thresholds, leaves; by level
-    suffixes: dict[str, tuple[float, float]]
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.base)
@@ -105,10 +101,23 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, suffixes: dict, trees: int = TREES, depth: int = DEPTH, rate: float = RATE) -> Trees:
-    """Newton boosting of complete binary trees; splits at quantiles of each feature."""
-    share = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
-    out = Trees(math.log(share / (1 - share)), [], suffixes)
+@dataclass
+class Model:
+    trees: Trees
+    suffixes: DataFrame  # _suffix, _n, _bad: over all labelled urls
+    mean: float  # share of labelled urls to be blocked
+
+    def stats(self, df: DataFrame) -> DataFrame:
+        """df (with host) and _seen, _share of the host's suffix."""
+        x = df.withColumn("_suffix", F.substring_index("host", ".", -1)).join(self.suffixes, "_suffix", "left")
+        n, bad = F.coalesce("_n", F.lit(0)), F.coalesce("_bad", F.lit(0))
+        return x.withColumns({"_seen": n.cast("double"), "_share": (bad + 20 * self.mean) / (n + 20)}).drop("_suffix", "_n", "_bad")
+
+
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE) -> Trees:
+    """Newton boosting of complete binary trees on weighted rows; splits at quantiles of each feature."""
+    share = min(max(float((y * weight).sum() / weight.sum()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
+    out = Trees(math.log(share / (1 - share)), [])
     if len(y) == 0 or y.min() == y.max():
         out.base = -10.0 if len(y) == 0 or y.max() == 0 else 10.0
         return out
@@ -117,7 +126,7 @@ def boost(x: np.ndarray, y: np.ndarray, suffixes: dict, trees: int = TREES, dept
     margin = np.full(len(y), out.base)
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        g, h = p - y, np.maximum(p * (1 - p), 1e-9)
+        g, h = weight * (p - y), weight * np.maximum(p * (1 - p), 1e-9)
         feature, threshold = np.zeros(2**depth - 1, np.int64), np.full(2**depth - 1, np.inf)
         node = np.zeros(len(y), np.int64)
         for level in range(depth):
@@ -147,39 +156,43 @@ def boost(x: np.ndarray, y: np.ndarray, suffixes: dict, trees: int = TREES, dept
     return out
 
 
-def fit(labelled: DataFrame, limit: int = TRAIN_ROWS) -> Trees:
+def fit(labelled: DataFrame, limit: int = TRAIN_ROWS) -> Model:
     """labelled: url, label (1: block). The sample is bounded by limit; equal urls count once."""
-    both = labelled.where(F.col("url").isNotNull() & F.col("label").isNotNull()).groupBy("url").agg(F.max("label").alias("label"))
-    sample = both.select("url", "label", F.xxhash64("url").alias("_h"), host(F.col("url")).alias("h"), path(F.col("url")).alias("p"))
+    both = labelled.where(F.col("url").isNotNull() & F.col("label").isin(0, 1)).groupBy("url").agg(F.max("label").alias("label"))
+    both = cut(both.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))}), "labelled")
+    suffixes = cut(both.groupBy(F.substring_index("host", ".", -1).alias("_suffix")).agg(F.count("*").alias("_n"), F.sum("label").alias("_bad")), "suffixes")
+    n, bad = suffixes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum("_bad"), F.lit(0))).first()
+    model = Model(Trees(-10.0, []), suffixes, bad / max(1, n))
     # Both kinds are drawn alike, by hash, up to half of the limit each.
-    half = [sample.where(F.col("label") == k).orderBy("_h", "url").limit(limit // 2) for k in (0, 1)]
-    rows = [r for part in half for r in part.collect()]
-    seen, bad = Counter(_suffix(r["h"]) for r in rows), Counter(_suffix(r["h"]) for r in rows if r["label"])
-    mean = sum(bad.values()) / max(1, len(rows))
-    suffixes = {s: (float(n), (bad[s] + 20 * mean) / (n + 20)) for s, n in seen.items()} | {"": (0.0, mean)}
-    x = np.array([lexical(r["url"], r["h"], r["p"], suffixes) for r in rows], float)
-    return boost(x, np.array([float(r["label"]) for r in rows]), suffixes)
+    sample = both.withColumn("_h", F.xxhash64("url"))
+    half = [model.stats(sample.where(F.col("label") == k).orderBy("_h", "url").limit(limit // 2)).orderBy("_h", "url").collect() for k in (0, 1)]
+    rows = [r for part in half for r in part]
+    weight = np.repeat([(n - bad) / max(1, len(half[0])), bad / max(1, len(half[1]))], [len(part) for part in half])
+    x = np.array([lexical(r["url"], r["host"], r["path"], r["_seen"], r["_share"]) for r in rows], float)
+    model.trees = boost(x, np.array([float(r["label"]) for r in rows]), weight)
+    return model
 
 
-def judge(urls: DataFrame, model: Trees, rules: tuple = RULES) -> DataFrame:
+def judge(urls: DataFrame, model: Model, rules: tuple = RULES) -> DataFrame:
     """urls (with a column url) and host, path, rule, verdict and block_score."""
     text, said = rule(F.col("host"), F.col("path"), rules)
     x = urls.drop("block_score", "verdict", "_said").withColumns({"host": host(F.col("url")), "path": path(F.col("url"))}).withColumns({"rule": text, "_said": said})
+    x, trees = model.stats(x.drop("_suffix", "_n", "_bad", "_seen", "_share")), model.trees
     names, schema = x.columns, ", ".join(f"`{c}` {t}" for c, t in x.dtypes)
 
     def make():
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            parts = [b.column(c).to_pylist() for c in ("url", "host", "path")]
-            rows = [lexical(u, h, p, model.suffixes) if h else None for u, h, p in zip(*parts, strict=True)]
+            parts = [b.column(c).to_pylist() for c in ("url", "host", "path", "_seen", "_share")]
+            rows = [lexical(*r) if r[1] else None for r in zip(*parts, strict=True)]
             score = np.zeros(len(rows))
             if known := [i for i, r in enumerate(rows) if r]:
-                score[known] = 1 / (1 + np.exp(-model.margin(np.array([rows[i] for i in known], float))))
+                score[known] = 1 / (1 + np.exp(-trees.margin(np.array([rows[i] for i in known], float))))
             return pa.record_batch([*(b.column(c) for c in names), pa.array(score)], [*names, "block_score"])
 
         return work
 
     scored = in_python(x, make, f"{schema}, block_score double", rows=8192)
-    return scored.withColumn("verdict", F.coalesce("_said", F.when(F.col("block_score") > 0.5, "block").otherwise("allow"))).drop("_said")
+    return scored.withColumn("verdict", F.coalesce("_said", F.when(F.col("block_score") > 0.5, "block").otherwise("allow"))).drop("_said", "_seen", "_share")
 
 
 def seeded(pages: DataFrame) -> DataFrame:

@@ -371,6 +371,17 @@ def test_trees_generalise(spark):
     assert sum((r.verdict == "block") == bool(r.y) for r in got) / len(got) > 0.97
 
 
+def test_url_sample_keeps_statistics_and_prior(spark):
+    """A tenth is to be blocked, by chance; the sample takes as many urls of either kind."""
+    rows = [(f"http://host.example.{'com' if i % 400 else f'x{i}'}/en/{i:04d}", int(i % 10 == 7)) for i in range(4000)]
+    labelled = spark.createDataFrame(rows, "url string, label int")
+    model = urls.fit(labelled, 400)
+    want = collections.Counter(u.split("/")[2].rpartition(".")[2] for u, _ in rows)
+    assert {r._suffix: r._n for r in model.suffixes.collect()} == want and model.mean == 0.1
+    got = urls.judge(spark.createDataFrame([(f"http://host.example.com/en/{i}",) for i in range(5000, 7000)], "url string"), model, ()).collect()
+    assert sum(r.block_score for r in got) / len(got) < 0.2
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no tables")
 def test_junk_hosts_held_out_by_name(spark):
     """Each kind of junk host is found by a model that has seen the other kinds only."""
