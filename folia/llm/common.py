@@ -17,21 +17,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where none is set (tests)."""
+    """The folder that the cluster shares. Where none is set, a temporary one on a single machine only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="folia-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/folia/{spark.sparkContext.applicationId}"
+
+
+#: Folders of written tables that haven't been deleted.
+_written: dict[str, None] = {}
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends, every later pass reads the
     narrow table, and lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folia/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = None
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _written.pop(path, None)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of cut() that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.folder)
+
+
+def written() -> set[str]:
+    return set(_written)
+
+
+def drop_all_but(spark: SparkSession, keep: set[str]) -> None:
+    for path in written() - keep:
+        _delete(spark, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that this application has written in between; its results must have been read."""
+    _delete(spark, _folder(spark))
+    _written.clear()
 
 
 def words(text: Column) -> Column:

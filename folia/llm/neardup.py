@@ -1,11 +1,16 @@
 """Operator 5, n-gram Jaccard join by MinHash banding.
 
 Documents are sets of hashed windows of five words (64 bits). Bands and rows follow from the target
-recall at the similarity. Equal sets collapse to one representative before anything is joined, so a
-group of copies costs one row. Documents that share a band meet by that band's hash: the shuffle
-carries ids alone, and each joins its bucket's lowest id, never all others. The connected candidates
-are then verified in full: each candidate group is read once, as whole n-gram sets; a group of more
-than BLOCK documents is dealt out as pairs of blocks, each pair a task's worth of bounded size.
+recall at the similarity. Equal sets collapse to one node before anything is joined, so a group of
+copies costs one row; a set is known by its 128-bit name, never by a key, which several texts may
+share. Nodes that share a band meet by that band's hash: the shuffle carries ids alone, and each joins
+its bucket's lowest node, never all others. The connected candidates are then verified in full, as
+whole n-gram sets, in tasks' worths of bounded size:
+
+* a component of at most BLOCK nodes is read once;
+* a larger one is dealt out as pairs of blocks, or bucket by bucket where that ships fewer rows (long
+  chains of small buckets); there a pair counts in the first bucket that it shares.
+
 Links are counted and united inside the task, as matrix products of presence rows; pairs are never
 emitted. Nothing is capped.
 
@@ -13,9 +18,10 @@ Result, one row per row of docs: key, class_id (lowest key that links lead to),
 (lowest key with the same set), n_links (other rows at the similarity or above, copies included).
 
 Edge cases: a text of one to four words is one window of all its words, so it links with equal ones
-only; null text, or one without words, and a null key are classes of their own with no links (class
-of a null key: null); repeated rows count as copies of each other; an empty table gives an empty
-table; other columns are ignored.
+only; null text, or one without words, is a class of its own with no links; a null key sorts after
+all others, so a class of null keys alone has a null class_id; several texts under one key are
+documents of their own, each in its own class; repeated rows count as copies of each other; very long
+texts are whole sets; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +30,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from folia.llm.batches import in_python, ship
-from folia.llm.common import cut, split_words, table
+from folia.llm.common import cut, drop, split_words, table
 from folia.llm.shingles import MinHash, WordHashes, bands_for, constants, windows
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
 #: Documents of one block; window hashes of one strip of the presence matrix.
 BLOCK, STRIP = 256, 4096
+#: Rows of a broadcast at most.
+BROADCAST = 1 << 20
 
 
 def shingles(words: list[str], hashes: WordHashes, n: int, factors: np.ndarray) -> np.ndarray:
@@ -40,30 +49,35 @@ def shingles(words: list[str], hashes: WordHashes, n: int, factors: np.ndarray)
     return np.unique(windows(h, min(n, len(h)), factors)) if len(h) else h
 
 
+def identified(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """docs with i1, i2: 128 bits of key and text together, which tell rows apart that differ in either."""
+    both = [F.col(key).cast("long"), F.col(text)]
+    return docs.withColumns({"i1": F.xxhash64(F.lit(1), *both), "i2": F.xxhash64(F.lit(2), *both)})
+
+
 def signatures(docs: DataFrame, n: int, similarity: float, recall: float, text: str, key: str) -> DataFrame:
-    """(key, s1, s2, size, bands): a 128-bit name of the set, its size, its band hashes."""
-    kind = docs.schema[key].dataType.simpleString()
+    """(key, i1, i2, s1, s2, size, bands): the row, a 128-bit name of its set, the set's size and band hashes."""
 
     def make():
         hashes, factors, name, hasher = WordHashes(), constants(n, 0), constants(1, 9), MinHash(*bands_for(similarity, recall))
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingles(split_words(t), hashes, n, factors) for t in b.column(1).to_pylist()]
+            sets = [shingles(split_words(t), hashes, n, factors) for t in b.column(3).to_pylist()]
             s1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             s2 = np.array([np.bitwise_xor.reduce((s ^ (s >> np.uint64(29))) * name) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
             bands = [hasher.bands_of(s).view(np.int64) if len(s) else None for s in sets]
             cols = [pa.array(s1), pa.array(s2), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            return pa.record_batch([b.column(0), *cols], [key, "s1", "s2", "size", "bands"])
+            return pa.record_batch([b.column(0), b.column(1), b.column(2), *cols], [key, "i1", "i2", "s1", "s2", "size", "bands"])
 
         return work
 
-    return in_python(docs.select(key, text), make, f"`{key}` {kind}, s1 bigint, s2 bigint, size bigint, bands array<bigint>", rows=256)
+    return in_python(docs.select(key, "i1", "i2", text), make, f"`{key}` bigint, i1 bigint, i2 bigint, s1 bigint, s2 bigint, size bigint, bands array<bigint>", rows=256)
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, comp): the lowest node of each connected component of edges (a, b). Each round every
     node takes its lowest neighbour, chains are shortened, and the edges contract; a round's result
-    is a written table. Only counts reach the driver."""
+    is a written table, that of the round before is deleted. Only counts reach the driver."""
     left = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
     known = None
     while left.limit(1).count():
@@ -71,19 +85,24 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         step = cut(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("comp")), name)
         while True:  # comp of comp, until nothing moves
             up = step.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-            step2 = cut(step.join(up, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), name)
-            moved = step2.join(step.withColumnRenamed("comp", "old"), "node").where("comp <> old").limit(1).count()
-            step = step2
+            next_ = cut(step.join(up, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"), (F.col("top") != F.col("comp")).alias("moved")), name)
+            moved = next_.where("moved").limit(1).count()
+            drop(step)
+            step = next_
             if not moved:
                 break
         a, b = (step.select(F.col("node").alias(c), F.col("comp").alias(f"_{c}")) for c in "ab")
-        left = cut(left.join(a, "a").join(b, "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).where("a <> b").distinct(), name)
+        rest = cut(left.join(a, "a").join(b, "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).where("a <> b").distinct(), name)
+        drop(left)
+        left = rest
         if known is None:
             known = step
         else:
             up = step.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-            known = cut(known.join(up, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), name)
-    return known if known is not None else left.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+            longer = cut(known.join(up, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), name)
+            drop(known, step)
+            known = longer
+    return known.select("node", "comp") if known is not None else left.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
@@ -109,9 +128,10 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similari
 
 
 def verify(members: DataFrame, n: int, similarity: float, text: str) -> DataFrame:
-    """members: (node, copies, group, i, j, block, text), rows of a block pair together and in order.
-    Returns (node, links, root, group): links to the rows of the other block (each copy counts) and
-    one verified neighbour that leads to the lowest node of the part."""
+    """members: (node, copies, group, bucket, i, j, block, bands, text), rows of a block pair together
+    and in order. Returns (node, links, root): links to the rows of the other block (each copy counts)
+    and one verified neighbour that leads to the lowest node of the part. In a bucket (whose band hash
+    is the group) a pair counts if no earlier band is shared."""
 
     def run(batches):
         hashes, factors = WordHashes(), constants(n, 0)
@@ -120,16 +140,19 @@ def verify(members: DataFrame, n: int, similarity: float, text: str) -> DataFram
         def done():
             node = np.array([r[0] for r in held], np.int64)
             copies, block = np.array([r[1] for r in held], np.int64), np.array([r[2] for r in held], np.int64)
-            sets, (group, i, j) = [r[3] for r in held], at
+            sets, (group, bucket, i, j) = [r[4] for r in held], at
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
             near = linked(sets, left, right, similarity)
+            if bucket:
+                bands = np.array([r[3] for r in held], np.int64)
+                for t in range(int(np.flatnonzero(bands[0] == group)[0])):
+                    near &= bands[left, t][:, None] != bands[right, t][None, :]
             if i == j:
                 near[np.arange(len(left)), np.arange(len(left))] = False
             links = np.zeros(len(node), np.int64)
             links[left] += near @ copies[right]
             if i != j:
                 links[right] += near.T @ copies[left]
-            root = np.arange(len(node))
             order = np.argsort(node, kind="stable")
             rank = np.empty(len(node), np.int64)
             rank[order] = np.arange(len(node))
@@ -143,54 +166,98 @@ def verify(members: DataFrame, n: int, similarity: float, text: str) -> DataFram
                 if (new == low).all():
                     break
                 low = new
-            root = node[order[low]]
-            return pa.record_batch([pa.array(node), pa.array(links), pa.array(root), pa.array([group] * len(node), pa.int64())], ["node", "links", "root", "group"])
+            return pa.record_batch([pa.array(node), pa.array(links), pa.array(node[order[low]])], ["node", "links", "root"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("group", "i", "j", "node", "copies", "block", text)]
-            for group, i, j, node, copies, block, t in zip(*cols, strict=True):
-                if (group, i, j) != at:
+            cols = [batch.column(c).to_pylist() for c in ("group", "bucket", "i", "j", "node", "copies", "block", "bands", text)]
+            for group, bucket, i, j, node, copies, block, bands, t in zip(*cols, strict=True):
+                if (group, bucket, i, j) != at:
                     if held:
                         yield done()
-                    held, at = [], (group, i, j)
-                held.append((node, copies, block, shingles(split_words(t), hashes, n, factors)))
+                    held, at = [], (group, bucket, i, j)
+                held.append((node, copies, block, bands, shingles(split_words(t), hashes, n, factors)))
         if held:
             yield done()
 
     ship(members.sparkSession)
-    return members.mapInArrow(run, "node bigint, links bigint, root bigint, group bigint")
+    return members.mapInArrow(run, "node bigint, links bigint, root bigint")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK, text: str = "text", key: str = "doc_id") -> DataFrame:
-    docs = docs.select(F.col(key).cast("long").alias(key), text)
-    signed = cut(signatures(docs, words, similarity, recall, text, key), "signatures")
-    keyed = signed.where(F.col(key).isNotNull() & (F.col("size") > 0))
-    same = cut(keyed.groupBy("s1", "s2", "size").agg(F.min(key).alias("node"), F.count("*").alias("copies")), "sets")
-    # One row of bands per set; repeated rows of the lowest key count once.
-    bands = keyed.join(same.select(F.col("node").alias(key), "copies"), key, "left_semi").select(F.col(key).alias("node"), F.explode("bands").alias("band")).distinct()
-    bands = cut(bands, "bands")
+def dealt(bands: DataFrame, candidates: DataFrame, block: int) -> DataFrame:
+    """(node, group, bucket, blocks): the groups in which each candidate is verified. A component is
+    one group; if it has more than one block's nodes and its buckets would ship fewer rows than its
+    pairs of blocks, its buckets of two nodes or more are."""
+    sized = candidates.groupBy("comp").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    large = candidates.join(sized.where("blocks > 1"), "comp")
+    in_bucket = bands.join(large.select("node", "comp"), "node")
+    buckets = in_bucket.groupBy("comp", "band").agg(F.count("*").alias("c")).where("c > 1")
+    shipped = buckets.groupBy("comp").agg(F.sum(F.col("c") * F.ceil(F.col("c") / block)).alias("rows"))
+    split = sized.join(shipped, "comp").where(F.col("rows") < F.col("n") * F.col("blocks")).select("comp")
+    whole = candidates.join(sized, "comp").join(split, "comp", "left_anti").select("node", F.col("comp").alias("group"), F.lit(False).alias("bucket"), "blocks")
+    parts = in_bucket.join(buckets.join(split, "comp", "left_semi"), ["comp", "band"])
+    return whole.unionByName(parts.select("node", F.col("band").alias("group"), F.lit(True).alias("bucket"), F.ceil(F.col("c") / block).cast("int").alias("blocks")))
+
+
+def classes(docs: DataFrame, words: int, similarity: float, recall: float, block: int, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, sets). rows: (key, i1, i2, s1, s2, size) of all rows of docs. sets: (s1, s2, size, low,
+    pick, n_links, class_id, lead): the lowest key and row (pick) with the set, those of its class
+    (class_id, lead)."""
+    docs = identified(docs.select(F.col(key).cast("long").alias(key), text), text, key)
+    rows = cut(signatures(docs, words, similarity, recall, text, key), "signatures")
+    pick = F.min(F.struct(F.col(key).isNull().alias("none"), key, "i1", "i2"))
+    same = rows.where("size > 0").groupBy("s1", "s2", "size").agg(pick.alias("pick"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
+    same = cut(same.withColumn("node", F.monotonically_increasing_id()), "sets")
+    bands = cut(same.select("node", F.explode("bands").alias("band")), "bands")
     buckets = bands.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("c")).where("c > 1").select("band", "b")
     candidates = components(bands.join(buckets, "band").select(F.col("node").alias("a"), "b"), "candidates")
-    sized = candidates.groupBy(F.col("comp").alias("_c")).agg(F.count("*").alias("n")).select("_c", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    members = candidates.join(sized, F.col("comp") == F.col("_c")).join(same.select("node", "copies"), "node")
-    members = members.select("node", "copies", F.col("comp").alias("group"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    groups = cut(dealt(bands, candidates, block), "groups")
+    drop(bands)
     # Each text once per block pair of its group: once for a group of one block.
-    texts = docs.select(F.col(key).alias("node"), text).join(members, "node").dropDuplicates(["node"])
-    pairs = texts.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("node", "copies", "group", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", text)
-    dealt = pairs.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node")
-    checked = cut(verify(dealt, words, similarity, text), "checked")
+    found = groups.select("node").distinct().join(same, "node").select("node", "copies", "bands", F.col("pick.i1").alias("i1"), F.col("pick.i2").alias("i2"))
+    found = cut(found, "members")
+    rest = docs.select("i1", "i2", text)
+    if found.count() <= BROADCAST:
+        rest = rest.join(F.broadcast(found.select("i1")), "i1", "left_semi")
+    texts = rest.join(found, ["i1", "i2"]).dropDuplicates(["node"]).drop("i1", "i2")
+    pairs = texts.join(groups, "node").withColumn("block", F.pmod(F.xxhash64("node", "group"), F.col("blocks")).cast("int"))
+    pairs = pairs.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select("node", "copies", "group", "bucket", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", F.when(F.col("bucket"), F.col("bands")).alias("bands"), text)
+    in_order = pairs.repartition("group", "bucket", "i", "j").sortWithinPartitions("group", "bucket", "i", "j", "node")
+    checked = cut(verify(in_order, words, similarity, text), "checked")
+    drop(found)
     links = checked.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.count("*").alias("parts"))
-    # Groups of one block are settled; roots of several parts are united.
-    several = checked.join(sized.where("blocks > 1").select(F.col("_c").alias("group")), "group", "left_semi")
+    # Groups of one part are settled; roots of several parts are united.
+    several = checked.join(links.where("parts > 1").select("node"), "node", "left_semi")
     united = components(several.select(F.col("node").alias("a"), F.col("root").alias("b")), "united")
-    found = links.join(united, "node", "left").select("node", "links", F.coalesce("comp", "root").alias("class_id"))
-    sets = same.join(found, "node", "left").select("s1", "s2", "size", "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("class_id", "node").alias("class_id"))
-    out = keyed.select(key, "s1", "s2", "size").join(sets, ["s1", "s2", "size"]).select(key, "class_id", F.col("node").alias("representative"), "n_links")
-    alone = signed.where(F.col(key).isNull() | (F.col("size") == 0)).select(key, F.col(key).alias("class_id"), F.col(key).alias("representative"), F.lit(0).cast("long").alias("n_links"))
+    top = united.select(F.col("node").alias("root"), F.col("comp").alias("top"))
+    settled = links.join(united, "node", "left").select("node", "links", F.coalesce("comp", "root").alias("root")).join(top, "root", "left")
+    settled = settled.select("node", "links", F.coalesce("top", "root").alias("class"))
+    sets = same.drop("bands").join(settled, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    lead = sets.groupBy("class").agg(F.min("pick").alias("lead"))
+    sets = sets.join(lead, "class").select("s1", "s2", "size", F.col(f"pick.{key}").alias("low"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col(f"lead.{key}").alias("class_id"), "pick", "lead")
+    return rows.drop("bands"), sets
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK, text: str = "text", key: str = "doc_id") -> DataFrame:
+    rows, sets = classes(docs, words, similarity, recall, block, text, key)
+    out = rows.where("size > 0").join(sets, ["s1", "s2", "size"]).select(key, "class_id", F.col("low").alias("representative"), "n_links")
+    alone = rows.where("size = 0").select(key, F.col(key).alias("class_id"), F.col(key).alias("representative"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(alone)
 
 
+def first_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of docs, unchanged: of each class the one with the lowest key (of several rows with
+    that key the one with the lowest hash of its text, of equal ones the lowest in the other columns);
+    all texts without words stay."""
+    rows, sets = classes(docs, words, similarity, recall, block, text, key)
+    stay = sets.select("lead").where("pick = lead").select("lead.i1", "lead.i2")
+    stay = stay.withColumn("alone", F.lit(False)).union(rows.where("size = 0").select("i1", "i2", F.lit(True)).distinct())
+    packed = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.struct("*").alias("doc"))
+    first = F.row_number().over(W.partitionBy("i1", "i2").orderBy(*[F.col("doc")[c] for c in docs.columns if c not in (text, key)] or ["k"])) == 1
+    kept = identified(packed, "t", "k").join(stay, ["i1", "i2"]).withColumn("first", first)
+    return kept.where("first OR alone").select("doc.*")
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -248,6 +248,48 @@ def test_near_duplicates_awkward(docs, empty):
         by[r.doc_id].add((r.class_id, r.n_links))
     assert by[1] == by[5] == {(1, 2)} and by[2] == {(2, 0)} and by[None] == {(None, 0)}
     assert neardup.near_duplicates(empty).count() == 0
+    assert neardup.first_of_each(docs).count() == len(ROWS) - 2 and neardup.first_of_each(empty).count() == 0
+    assert neardup.first_of_each(docs).columns == docs.columns
+
+
+def one_key_several_texts():
+    """Near copies under shared, null and repeated keys."""
+    rnd, rows = random.Random(11), []
+    for base in range(12):
+        w = [f"b{base}w{rnd.randrange(300)}" for _ in range(80)]
+        for _ in range(rnd.randrange(1, 7)):
+            v = list(w)
+            for _ in range(rnd.randrange(3)):
+                v[rnd.randrange(len(v))] = f"n{rnd.randrange(50)}"
+            rows += [(rnd.choice([None, *range(8)]), " ".join(v))] * rnd.choice((1, 1, 2))
+    return rows
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_one_key_with_several_texts_loses_no_link(spark, block):
+    """Links and classes of rows, not of keys."""
+    rows = one_key_several_texts()
+    links = brute_links(list(enumerate(t for _, t in rows)))
+    classes = collections.defaultdict(list)
+    for i, (root, _) in links.items():
+        classes[root].append(rows[i][0])
+    lowest = lambda keys: min((k for k in keys if k is not None), default=None)
+    want = collections.Counter((rows[i][0], lowest(classes[root]), n) for i, (root, n) in links.items())
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = neardup.near_duplicates(df, block=block).collect()
+    assert collections.Counter((r.doc_id, r.class_id, r.n_links) for r in got) == want
+    kept = [(r.doc_id, r.text) for r in neardup.first_of_each(df, block=block).collect()]
+    place = {r: i for i, r in enumerate(rows)}
+    assert sorted(links[place[r]][0] for r in kept) == sorted(classes)  # one row of each class
+    assert all(k == lowest(classes[links[place[k, t]][0]]) for k, t in kept)
+
+
+def test_long_chains_are_verified_by_buckets(spark):
+    """Neighbours in a chain are near, its ends aren't: one component of many small buckets."""
+    w = [f"w{i}" for i in range(900)]
+    rows = [(i, " ".join(w[4 * i : 4 * i + 60])) for i in range(200)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=4).collect()}
+    assert got == brute_links(rows)
 
 
 def test_bands_reach_the_recall():
