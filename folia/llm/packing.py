@@ -1,28 +1,36 @@
 """Operator 1, bulk-synchronous best-fit packing of token sequences.
 
-Pieces are range-sorted by length and gaps (the free space of open sequences) by size, both as
-classes: a class of pieces is a length and the ranks in it, a class of gaps a size and runs of
-sequence ids. Lengths are integers up to the capacity, so there are at most as many classes as the
-capacity, however many pieces there are. A round takes the longest class with pieces left and sweeps
-to its successor, the tightest gap class that holds it. Pieces and gaps meet by rank: the i-th piece
-takes the i-th gap, those without a gap go to the next round, gaps shrink and change class; where no
-gap is left, as many sequences are opened as the rest needs when each is filled. The rounds yield a
-table of flows (length, ranks, first sequence, offset), whose size depends on the capacity alone;
-executors number the pieces of each class and place every piece by its rank.
-
-Ranks come from row numbers inside (length, salt) plus the counts of smaller salts, so a length
-that a third of all pieces share is numbered by many tasks.
+Pieces are range-sorted by length and numbered in it, so a class of pieces is a length and a run of
+ranks, and a class of gaps (the free space of open sequences) a size and a run of sequence ids.
+Lengths are integers up to the capacity, so a round's state is bounded by the capacity, however many
+pieces there are. Rounds go through bands of lengths, the longest first; lengths of a band differ by a
+small factor. A round is a Spark job over the band's pieces and the gaps that could hold them:
+
+1. both are range-sorted by size; every range sweeps its own part in parallel: pieces, the longest
+   first, meet their successor, the tightest gap that holds them;
+2. conflicts are resolved by rank: the i-th piece of a class takes the i-th place in the gap's run,
+   pieces beyond its end go on to the next gap;
+3. pieces without a gap in their range and gaps without a piece meet in one more sweep, the leftover
+   of all ranges, which opens as many sequences as the pieces need that no gap holds;
+4. gaps shrink, and the next round starts with them.
+
+The rounds yield a table of flows (length, first rank, first sequence, offset, pieces a sequence) of at
+most FLOWS rows, which is checked; executors place every piece by its rank in it.
+
+Ranks come from row numbers inside (length, salt) plus the counts of smaller salts; a length has a
+salt for every RUN pieces, so one that a third of all pieces share is numbered by many tasks.
 
 Edge cases: null text is an empty document, one piece with the terminating id; longer documents are
-cut into pieces of the capacity, the last may be shorter; repeated rows are packed each; an empty
-table gives an empty table; other columns are ignored.
+cut into pieces of the capacity, the last may be shorter; a special token's string in a text is that
+token, as in the library; repeated rows are packed each; an empty table gives an empty table; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, insort
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import public_tokenizers
@@ -32,13 +40,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 from tokenizers import Tokenizer
 
-from folia.llm.batches import in_python
+from folia.llm.batches import in_python, ship
 from folia.llm.common import cut, table
 
 VOCABULARY, CAPACITY, END = "word_bpe_49k.json", 2048, 0
 #: Remembered words per worker at most, and their length.
 WORDS, LONG = 1 << 19, 64
-SALTS = 32
+#: Pieces that one task numbers; rows of a round that one range sweeps; flows at most.
+RUN, RANGE, FLOWS = 1 << 20, 256, 1 << 20
 
 # The vocabulary's own splitting, for texts of Latin letters (up to U+024F, without U+0130, whose
 # lower case has two characters), lower-cased before: these need no normalisation.
@@ -52,12 +61,14 @@ class Words:
 
     def __init__(self, path: str):
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids. Words are encoded apart: nothing in this vocabulary
-        crosses a space or line break."""
+        crosses a space or line break. Special tokens do, so a text with one goes to the library whole."""
+        if any(s in text for s in self.special):
+            return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if text.isascii() or (max(text) <= "ɏ" and "İ" not in text):
             parts = SPLIT.findall(text.lower())
         else:
@@ -109,60 +120,132 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, text: str = "te
     return in_python(docs.select(key, text), make, f"`{key}` {kind}, piece int, start bigint, length bigint, ids binary")
 
 
-def flows(counts: np.ndarray) -> np.ndarray:
-    """Best-fit rounds over classes. counts[n]: pieces of length n; len(counts) - 1: the capacity.
-    Rows (length, first rank, first sequence, offset), ordered by length and rank."""
-    capacity, out, opened = len(counts) - 1, [], 0
-    sizes: list[int] = []  # of gaps, ascending
-    gaps: dict[int, list[tuple[int, int]]] = {}  # size: runs (first sequence, how many)
-    for length in range(capacity, 0, -1):
-        rank, left = 0, int(counts[length])
+def best_fit(pieces: list[tuple[int, int, int]], gaps: list[tuple[int, int, int]], capacity: int, opened: int | None) -> tuple[list, list, list, int | None]:
+    """One sweep. pieces: (length, first rank, how many); gaps: (size, first sequence, how many). Longest
+    pieces first, each takes the tightest gap, and so do those of the same length that still fit beside
+    it. What no gap holds opens sequences from `opened` on, or is left over if that is None.
+    Returns flows (length, first rank, first sequence, offset, pieces a sequence), pieces left, gaps."""
+    sizes: list[int] = []
+    runs: dict[int, list[tuple[int, int]]] = {}
+    flows, left_over = [], []
+
+    def put(size: int, first: int, many: int) -> None:
+        if size and many:
+            if size not in runs:
+                insort(sizes, size)
+                runs[size] = []
+            runs[size].append((first, many))
+
+    for gap in sorted(gaps, reverse=True):
+        put(*gap)
+    for length, rank, left in sorted(pieces, key=lambda p: (-p[0], p[1])):
         while left:
             at = bisect_left(sizes, length)
             if at < len(sizes):
                 size = sizes[at]
-                first, many = gaps[size].pop()
+                first, many = runs[size].pop()
+                if not runs[size]:
+                    del runs[size], sizes[at]
+            elif opened is None:
+                left_over.append((length, rank, left))
+                break
             else:
                 size, first, many = capacity, opened, -(-left // (capacity // length))
                 opened += many
-                at = None
-            # No more sequences than the rest needs if each takes as many of this length as fit.
-            used = min(many, -(-left // (size // length)))
-            if used < many:
-                gaps.setdefault(size, []).append((first + used, many - used))
-            elif at is not None and not gaps[size]:
-                del gaps[size], sizes[at]
-            used = min(used, left)
-            out.append((length, rank, first, capacity - size))
-            if rest := size - length:
-                if rest not in gaps:
-                    insort(sizes, rest)
-                    gaps[rest] = []
-                gaps[rest].append((first, used))
-            rank, left = rank + used, left - used
-    return np.array(out, np.int64).reshape(-1, 4)
+            each = size // length
+            used = min(many, -(-left // each))
+            placed = min(left, used * each)
+            flows.append((length, rank, first, capacity - size, each))
+            in_last = placed - (used - 1) * each
+            put(size, first + used, many - used)
+            put(size - each * length, first, used - 1)
+            put(size - in_last * length, first + used - 1, 1)
+            rank, left = rank + placed, left - placed
+    return flows, left_over, [(size, *run) for size in sizes for run in runs[size]], opened
+
+
+ROW = pa.schema([("kind", pa.int32()), ("size", pa.int64()), ("first", pa.int64()), ("many", pa.int64()), ("offset", pa.int64()), ("each", pa.int64())])
+_PIECE, _GAP, _FLOW, _OPENED = range(4)
+
+
+def _rows(kind: int, rows: list) -> list[tuple]:
+    return [(kind, *r, *(0,) * (5 - len(r))) for r in rows]
+
+
+def _sweep(batches, capacity: int, opened: int | None):
+    """A partition of ROWs through one sweep."""
+    rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    if not rows:
+        return
+    pieces, gaps = ([r[1:4] for r in rows if r[0] == k] for k in (_PIECE, _GAP))
+    flows, left, gaps, opened = best_fit(pieces, gaps, capacity, opened)
+    out = [r for r in rows if r[0] == _FLOW] + _rows(_PIECE, left) + _rows(_GAP, gaps) + _rows(_FLOW, flows)
+    out += _rows(_OPENED, [(opened,)]) if opened is not None else []
+    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), ROW, strict=True)], schema=ROW)
+
+
+def bands(capacity: int) -> list[int]:
+    """Bounds of the rounds' bands of lengths, descending: at most k pieces of the k-th fit together,
+    from the eighth on lengths differ by less than half."""
+    out = [capacity // k for k in range(1, 9)]
+    while out[-1] > 0:
+        out.append(out[-1] * 2 // 3)
+    return sorted(set(out), reverse=True)
+
+
+def flows(spark: SparkSession, counts: np.ndarray) -> np.ndarray:
+    """The rounds. counts[n]: pieces of length n; len(counts) - 1: the capacity. Rows (length, first rank,
+    first sequence, offset, pieces a sequence), ordered by length and rank."""
+    ship(spark)
+    capacity, opened, found = len(counts) - 1, 0, []
+    gaps: list[tuple[int, int, int]] = []
+    for high, low in zip(bands(capacity), [*bands(capacity)[1:], 0], strict=True):
+        pieces = [(n, 0, int(counts[n])) for n in range(high, low, -1) if counts[n]]
+        if not pieces:
+            continue
+        least = pieces[-1][0]
+        state = _rows(_PIECE, pieces) + _rows(_GAP, [g for g in gaps if g[0] >= least])
+        df = spark.createDataFrame(pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*state, strict=True), ROW, strict=True)], schema=ROW))
+        schema = df.schema
+        if len(state) > RANGE:  # below, one range holds all
+            df = df.repartitionByRange(min(8, len(state) // RANGE + 1), "size").mapInArrow(partial(_sweep, capacity=capacity, opened=None), schema)
+        done = [tuple(r) for r in df.repartition(1).mapInArrow(partial(_sweep, capacity=capacity, opened=opened), schema).collect()]
+        shortest = next((n for n in range(1, capacity + 1) if counts[n]), 1)
+        gaps = [g for g in gaps if g[0] < least] + [r[1:4] for r in done if r[0] == _GAP and r[1] >= shortest]
+        found += [r[1:] for r in done if r[0] == _FLOW]
+        opened = next(r[1] for r in done if r[0] == _OPENED)
+        if len(found) > FLOWS:
+            raise ValueError(f"more than {FLOWS} flows at capacity {capacity}")
+    return np.array(sorted(found), np.int64).reshape(-1, 5)
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """items (with a column length, 1 to the capacity) and their sequence_id and offset."""
+    spark = items.sparkSession
     items = items.drop("sequence_id", "offset")
-    salted = items.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
-    held = np.zeros((capacity + 1, SALTS), np.int64)
-    for length, salt, n in salted.groupBy("length", "_salt").agg(F.count("*")).collect():  # at most capacity x salts rows
-        held[length, salt] = n
-    plan, before = flows(held.sum(1)), np.cumsum(held, 1) - held
-    numbered = salted.withColumn("_rank", F.row_number().over(W.partitionBy("length", "_salt").orderBy(*order)) - 1)
+    counts = np.zeros(capacity + 1, np.int64)
+    for length, n in items.groupBy("length").agg(F.count("*")).collect():  # at most capacity rows
+        counts[length] = n
+    salts = F.lit(1)
+    for length in np.flatnonzero(counts > RUN):
+        salts = F.when(F.col("length") == int(length), int(1 + counts[length] // RUN)).otherwise(salts)
+    salted = items.withColumn("_salt", F.pmod(F.xxhash64(*order), salts).cast("int"))
+    by_length = W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
+    before = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).select("length", "_salt", F.coalesce(F.sum("_n").over(by_length), F.lit(0)).alias("_before"))
+    in_salt = F.row_number().over(W.partitionBy("length", "_salt").orderBy(*order)) - 1
+    numbered = salted.repartitionByRange("length", "_salt").withColumn("_rank", in_salt).join(before, ["length", "_salt"])
+    numbered = numbered.select(*items.columns, (F.col("_rank") + F.col("_before")).alias("_rank"))
+    found = flows(spark, counts)
+    shared = spark.sparkContext.broadcast((found, (found[:, 0] << 40) + found[:, 1]))  # FLOWS rows at most
     names, schema = items.columns, ", ".join(f"`{c}` {t}" for c, t in items.dtypes)
-    keys = (plan[:, 0] << 40) + plan[:, 1]
-    order_of = np.argsort(keys, kind="stable")
-    plan, keys = plan[order_of], keys[order_of]
 
     def make():
+        plan, keys = shared.value
+
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            length, salt, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_salt", "_rank"))
-            rank = rank + before[length, salt]
-            flow = plan[np.searchsorted(keys, (length << 40) + rank, "right") - 1]
-            cols = [pa.array(flow[:, 2] + rank - flow[:, 1]), pa.array(flow[:, 3])]
+            length, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_rank"))
+            _, start, first, offset, each = plan[np.searchsorted(keys, (length << 40) + rank, "right") - 1].T
+            cols = [pa.array(first + (rank - start) // each), pa.array(offset + (rank - start) % each * length)]
             return pa.record_batch([*(b.column(c) for c in names), *cols], [*names, "sequence_id", "offset"])
 
         return work

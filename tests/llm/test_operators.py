@@ -1,6 +1,7 @@
 """Each operator on fixtures with the awkward cases, against brute force."""
 
 import base64
+import bisect
 import collections
 import hashlib
 import math
@@ -71,31 +72,59 @@ def test_packing(docs, empty):
     assert packing.packed(empty, path).count() == 0
 
 
-def test_flows_are_gapless_and_tight():
-    rnd = np.random.default_rng(1)
-    for cap in (16, 100, 2048):
-        counts = np.bincount(rnd.integers(1, cap + 1, 5000), minlength=cap + 1)
-        plan, used = packing.flows(counts), collections.defaultdict(list)
-        ends = {}
-        for i, (n, r, first, offset) in enumerate(plan):
-            last = plan[i + 1][1] if i + 1 < len(plan) and plan[i + 1][0] == n else counts[n]
-            for j in range(last - r):
-                used[first + j].append((offset, n))
-            ends[n] = last
-        assert sum(map(len, used.values())) == counts.sum()
-        for v in used.values():
-            v.sort()
-            assert all(v[i][0] + v[i][1] == v[i + 1][0] for i in range(len(v) - 1)) and v[0][0] == 0 and sum(v[-1]) <= cap
-        assert len(used) <= 1.03 * -(-int((counts * np.arange(cap + 1)).sum()) // cap) + 1
-
-
-@pytest.mark.parametrize("t", ["Hello, WORLD's 12 déjà-vu_x", "a\u00a0b\x1cc\x85d", "İstanbul! ǅ ª º ½²", "漢字 かな\u3000テスト", "e\u0301te\u0301 \u1e9b\u0323", "नमस्ते দুনিয়া", "<|startoftext|> x", "_ __ a_b", "ΑΣ ΟΔΥΣΣΕΥΣ"])
+def brute_best_fit(lengths, capacity):
+    """Best-fit decreasing, piece by piece: how many sequences."""
+    free = []
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(free, n)
+        size = free.pop(at) if at < len(free) else capacity
+        bisect.insort(free, size - n)
+    return len(free)
+
+
+@pytest.mark.parametrize("cap, n", [(16, 5000), (100, 5000), (2048, 5000), (2048, 40)])
+def test_flows_are_gapless_and_tight(spark, cap, n):
+    rnd = np.random.default_rng(cap + n)
+    lengths = np.minimum(cap, 1 + rnd.exponential(cap / 4, n).astype(int))
+    counts = np.bincount(lengths, minlength=cap + 1)
+    plan, used = packing.flows(spark, counts), collections.defaultdict(list)
+    for i, (length, rank, first, offset, each) in enumerate(plan):
+        end = plan[i + 1][1] if i + 1 < len(plan) and plan[i + 1][0] == length else counts[length]
+        assert rank == 0 or plan[i - 1][0] == length
+        for j in range(end - rank):
+            used[first + j // each].append((offset + j % each * length, length))
+    assert sum(map(len, used.values())) == counts.sum()
+    for v in used.values():
+        v.sort()
+        assert v[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(v, v[1:])) and sum(v[-1]) <= cap
+    assert len(used) <= 1.01 * brute_best_fit(lengths.tolist(), cap) + 1
+
+
+def test_a_round_equals_best_fit():
+    """One sweep places what best-fit decreasing places, piece by piece."""
+    rnd = random.Random(2)
+    for _ in range(200):
+        gaps = [(rnd.randrange(1, 30), 10 * i, rnd.randrange(1, 4)) for i in range(rnd.randrange(8))]
+        pieces = [(n, 0, rnd.randrange(1, 5)) for n in sorted(rnd.sample(range(1, 31), 6), reverse=True)]
+        flows, left, after, _ = packing.best_fit(pieces, gaps, 30, None)
+        free, out = sorted(s for s, _, m in gaps for _ in range(m)), []
+        for n, _, m in pieces:
+            for _ in range(m):
+                at = bisect.bisect_left(free, n)
+                if at == len(free):
+                    out.append(n)
+                else:
+                    bisect.insort(free, free.pop(at) - n)
+        assert sorted(out) == sorted(n for n, _, m in left for _ in range(m))
+        assert [x for x in free if x] == sorted(s for s, _, m in after for _ in range(m))
+
+
+@pytest.mark.parametrize("t", ["Hello, WORLD's 12 déjà-vu_x", "a\u00a0b\x1cc\x85d", "İstanbul! ǅ ª º ½²", "漢字 かな\u3000テスト", "e\u0301te\u0301 \u1e9b\u0323", "नमस्ते দুনিয়া", "<|startoftext|> x", "a<|endoftext|>b <|ENDOFTEXT|> <|endoftext |>", "_ __ a_b", "ΑΣ ΟΔΥΣΣΕΥΣ"])
 def test_word_ids_equal_the_library(t):
     from tokenizers import Tokenizer
 
     path = P.path(packing.VOCABULARY)
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     want = model.encode(t, add_special_tokens=False).ids
     assert np.frombuffer(packing.Words(path).ids(t), "<u4").tolist() == want
 
