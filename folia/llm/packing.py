@@ -226,9 +226,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in items.groupBy("length").agg(F.count("*")).collect():  # at most capacity rows
         counts[length] = n
-    salts = F.lit(1)
-    for length in np.flatnonzero(counts > RUN):
-        salts = F.when(F.col("length") == int(length), int(1 + counts[length] // RUN)).otherwise(salts)
+    many = F.get(F.array(*[F.lit(int(1 + n // RUN)) for n in counts]), F.col("length").cast("int"))
+    salts = many if counts.max() > RUN else F.lit(1)
     salted = items.withColumn("_salt", F.pmod(F.xxhash64(*order), salts).cast("int"))
     by_length = W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
     before = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).select("length", "_salt", F.coalesce(F.sum("_n").over(by_length), F.lit(0)).alias("_before"))

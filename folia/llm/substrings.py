@@ -17,11 +17,15 @@ appears in every equal window at the same place.
 4. Words covered by a repeat are removed.
 
 Streams over sorted partitions find the runs of equal names, so no group is held in memory, however
-often a passage occurs. No table of symbols is collected.
-
-Edge cases: null text has no words; texts of fewer than n words are kept as they are; null doc_id
-sorts first; rows that share doc_id and start don't precede each other, so repeated rows keep what
-their first occurrence keeps; an empty table gives an empty table; other columns are ignored.
+often a passage occurs. A common name doesn't meet in one task either: of the rows that a slab of
+documents has of it, the first alone is shuffled by name; the others are known to be shared, or to be
+repeats, and go straight to their documents. No table of symbols is collected.
+
+Edge cases: null text has no words; texts of fewer than n words are kept as they are; null doc_ids
+sort first, each text under one as a document of its own, in order of a 48-bit hash; rows that share
+doc_id and start don't precede each other, so repeated rows keep what their first occurrence keeps, at
+a cost that grows with their number and no faster; very long texts are read whole; an empty table gives
+an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -134,8 +138,9 @@ def recompress(h: np.ndarray, doc: np.ndarray, rounds: int):
 
 
 def anchor_rows(docs: DataFrame, n: int) -> DataFrame:
-    """(name, j, many): the anchors of each document; many: the document has the symbol twice.
-    Windows without an anchor count as an anchor 0 that always is shared."""
+    """(route, name, j, many): the anchors of each document; many: the name occurs twice for certain.
+    Names are routed by themselves; of several documents of a slab with the same name the first
+    alone, the others by document. Windows without an anchor count as an anchor 0 that always is shared."""
 
     def make():
         hashes = WordHashes()
@@ -147,43 +152,70 @@ def anchor_rows(docs: DataFrame, n: int) -> DataFrame:
             at = s.starts[at]
             all_of, times = np.unique(mix(names.view(np.uint64)) ^ s.salt(owners), return_counts=True)
             place = np.minimum(np.searchsorted(all_of, own), max(0, len(all_of) - 1))
-            many = (best[at] == 0) | (times[place] > 1) if len(all_of) else best[at] == 0
-            return pa.record_batch([pa.array(best[at]), pa.array(batch.column("j").to_numpy()[s.doc[at]]), pa.array(many)], ["name", "j", "many"])
+            name, j = best[at], batch.column("j").to_numpy()[s.doc[at]]
+            many = (name == 0) | (times[place] > 1) if len(all_of) else name == 0
+            order = np.lexsort((j, name))
+            name, j, many = name[order], j[order], many[order]
+            head = np.concatenate(([True], name[1:] != name[:-1])) if len(name) else np.zeros(0, bool)
+            again = head | np.concatenate((j[1:] != j[:-1], [True])) if len(name) else head
+            first = np.flatnonzero(head)
+            shared = np.add.reduceat(again.astype(np.int64), first) > 1 if len(first) else np.zeros(0, bool)
+            many |= shared[np.cumsum(head) - 1] if len(name) else many
+            route = np.where(head & (name != 0), name, mix(j.view(np.uint64)).view(np.int64))
+            return pa.record_batch([pa.array(c) for c in (route, name, j, many)], ["route", "name", "j", "many"])
 
         return work
 
-    return in_python(docs, make, "name bigint, j bigint, many boolean", rows=256)
+    return in_python(docs, make, "route bigint, name bigint, j bigint, many boolean", rows=256)
 
 
 def shared_names(anchors: DataFrame) -> DataFrame:
-    """(j, names): each document's anchors that occur twice or more. Sorted streams; one row waits."""
+    """(j, names): each document's anchors that occur twice or more. Sorted streams; one row waits.
+    Two documents' numbers or routes that agree by chance make more candidates, never fewer."""
 
     def run(batches):
         held = None  # the last row and whether its twin came before it
         for b in batches:
-            name, j, many = (b.column(c).to_numpy(zero_copy_only=False) for c in ("name", "j", "many"))
+            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("route", "name", "j", "many")]
             if held:
-                name, j, many = np.append(held[0], name), np.append(held[1], j), np.append(held[2], many)
-            if not len(name):
+                cols = [np.append(h, c) for h, c in zip(held, cols, strict=True)]
+            route, name, j, many = cols
+            if not len(route):
                 continue
-            same = name[1:] == name[:-1]
+            same = route[1:] == route[:-1]
             many = many.astype(bool)
             many[1:] |= same
             many[:-1] |= same
-            held = (name[-1], j[-1], many[-1])
-            out = np.flatnonzero(many[:-1])
+            held = tuple(c[-1] for c in (route, name, j, many))
+            repeated = same & (name[1:] == name[:-1]) & (j[1:] == j[:-1])
+            out = np.flatnonzero(many[:-1] & ~repeated)
             yield pa.record_batch([pa.array(j[out]), pa.array(name[out])], ["j", "name"])
-        if held and held[2]:
-            yield pa.record_batch([pa.array([held[1]], pa.int64()), pa.array([held[0]], pa.int64())], ["j", "name"])
+        if held and held[3]:
+            yield pa.record_batch([pa.array([held[2]], pa.int64()), pa.array([held[1]], pa.int64())], ["j", "name"])
 
     ship(anchors.sparkSession)
-    dealt = anchors.repartition("name").sortWithinPartitions("name")
+    dealt = anchors.repartition("route").sortWithinPartitions("route", "name", "j")
     return dealt.mapInArrow(run, "j bigint, name bigint").groupBy("j").agg(F.collect_list("name").alias("names"))
 
 
+def later_twins(h1: np.ndarray, h2: np.ndarray, k: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which windows have a twin among these that starts earlier."""
+    out = np.zeros(len(h1), bool)
+    order = np.argsort(h1)
+    same = h1[order][1:] == h1[order][:-1]
+    some = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(h1) else order
+    if len(some):
+        some = some[np.lexsort((place[some], k[some], h2[some], h1[some]))]
+        a, b = h1[some], h2[some]
+        head = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        first = some[head][np.cumsum(head) - 1]
+        out[some] = (k[some] != k[first]) | (place[some] != place[first])
+    return out
+
+
 def candidates(docs: DataFrame, shared: DataFrame, n: int) -> DataFrame:
-    """(h1, h2, k, place): windows that may have a twin. h2: 32 more bits of hash before 32 of the
-    text's; place: start."""
+    """(h1, h2, k, place, known): windows that may have a twin. h2: 32 more bits of hash before 32 of
+    the text's; place: start; known: an earlier twin was found in the slab (h1 then is the route)."""
 
     def make():
         hashes = WordHashes()
@@ -197,39 +229,45 @@ def candidates(docs: DataFrame, shared: DataFrame, n: int) -> DataFrame:
             mine = mix(best.view(np.uint64)) ^ s.salt(doc)
             s.starts = s.starts[np.isin(mine, np.concatenate(shown) if shown else np.zeros(0, np.uint64))]
             doc = s.doc[s.starts]
-            h2 = (s.window_hashes(42) & np.uint64(0xFFFFFFFF00000000)).view(np.int64) | batch.column("t").to_numpy()[doc]
-            cols = [s.window_hashes(41).view(np.int64), h2, batch.column("k").to_numpy()[doc], (s.starts - s.first[doc]).astype(np.int32)]
-            return pa.record_batch([pa.array(c) for c in cols], ["h1", "h2", "k", "place"])
+            h1, high = s.window_hashes(41).view(np.int64), s.window_hashes(42) & np.uint64(0xFFFFFFFF00000000)
+            k, t, place = batch.column("k").to_numpy()[doc], batch.column("t").to_numpy()[doc], (s.starts - s.first[doc]).astype(np.int32)
+            known = later_twins(h1, high, k, place)
+            route = np.where(known, mix((k ^ t).view(np.uint64)).view(np.int64), h1)
+            return pa.record_batch([pa.array(c) for c in (route, high.view(np.int64) | t, k, place, known)], ["h1", "h2", "k", "place", "known"])
 
         return work
 
     # All columns, as in removed(): both joins then share one shuffle of the texts.
     joined = docs.join(shared, "j").select(*docs.columns, "names")
-    return in_python(joined, make, "h1 bigint, h2 bigint, k bigint, place int", rows=256)
+    return in_python(joined, make, "h1 bigint, h2 bigint, k bigint, place int, known boolean", rows=256)
 
 
 def repeats(windows: DataFrame) -> DataFrame:
     """(j, places): each document's windows that start earlier elsewhere."""
 
     def run(batches):
-        lead = None  # hash, document and start of the first of the current run
+        lead = last = None  # the first and the last row of the current run
         for b in batches:
             if not b.num_rows:
                 continue
-            h1, h2, k, start = (b.column(c).to_numpy() for c in ("h1", "h2", "k", "place"))
-            t, h2 = h2 & 0xFFFFFFFF, h2 >> 32
-            whose, at = k, start
+            h1, h2, k, place = rows = [b.column(c).to_numpy() for c in ("h1", "h2", "k", "place")]
+            known = b.column("known").to_numpy(zero_copy_only=False)
+            before = [np.concatenate(([x], c[:-1])) for x, c in zip(last or (c[0] for c in rows), rows, strict=True)]
+            repeated = np.logical_and.reduce([x == c for x, c in zip(before, rows, strict=True)])
+            repeated[0] &= last is not None
+            last = [c[-1] for c in rows]
             if lead:
-                h1, h2, k, start = np.append(lead[0], h1), np.append(lead[1], h2), np.append(lead[2], k), np.append(lead[3], start)
-            new = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
+                h1, h2, k, place = (np.append(x, c) for x, c in zip(lead, rows, strict=True))
+            high = h2 >> 32
+            new = np.concatenate(([True], (h1[1:] != h1[:-1]) | (high[1:] != high[:-1])))
             head = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = (k != k[head]) | (start != start[head])
-            lead = tuple(x[head[-1]] for x in (h1, h2, k, start))
-            later = later[len(k) - b.num_rows :]
-            yield pa.record_batch([pa.array(whose[later]), pa.array(t[later]), pa.array(at[later])], ["k", "t", "place"])
+            later = (k != k[head]) | (place != place[head])
+            lead = tuple(x[head[-1]] for x in (h1, h2, k, place))
+            out = np.flatnonzero((later[len(k) - b.num_rows :] | known) & ~repeated)
+            yield pa.record_batch([pa.array(rows[2][out]), pa.array(rows[1][out] & 0xFFFFFFFF), pa.array(rows[3][out])], ["k", "t", "place"])
 
     ship(windows.sparkSession)
-    dealt = windows.repartition("h1").sortWithinPartitions("h1", F.shiftright("h2", 32), "k", "place")
+    dealt = windows.repartition("h1").sortWithinPartitions("h1", F.shiftright("h2", 32), "k", "place", "h2")
     found = dealt.mapInArrow(run, "k bigint, t bigint, place int")
     return found.groupBy(F.xxhash64("k", "t").alias("j")).agg(F.collect_list("place").alias("places"))
 
@@ -279,8 +317,9 @@ def removed(docs: DataFrame, found: DataFrame, whole: DataFrame, n: int, carry:
 def substring_dedup(docs: DataFrame, n: int = WINDOW, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = (), original: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for every row of docs; also the columns to carry along
     and, if asked for, the original text."""
-    k = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63) + 1))
     tag = F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))
+    unkeyed = F.xxhash64(F.lit(1), F.col(text)).bitwiseAND(F.lit((1 << 48) - 1)) + F.lit(-(2**63))
+    k = F.coalesce(F.col(key).cast("long"), unkeyed)
     docs = docs.select(F.xxhash64(k, tag).alias("j"), k.alias("k"), tag.alias("t"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *carry)
     # A copy's windows all start earlier elsewhere, so it is nobody's first occurrence.
     whole = cut(copies(docs), "copies")

@@ -9,6 +9,7 @@ import random
 import re
 import struct
 import textwrap
+import time
 import zlib
 from pathlib import Path
 
@@ -234,6 +235,27 @@ def test_substrings(spark, docs, empty):
     assert substrings.substring_dedup(empty).count() == 0
 
 
+def test_repeated_rows_of_a_long_text(spark):
+    """Thousands of equal rows cost their number, not its square; texts under null keys stay apart."""
+    text = " ".join(f"w{i % 700}v{i}" for i in range(800))
+    rows = [(None, text)] * 4000 + [(1, text + " end"), (None, "x " + text), (None, "other " * 30)]
+    began = time.time()
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed) for r in substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect())
+    assert time.time() - began < 60
+    first, second = got[None, 800, 0], got[None, 801, 0]
+    assert (first, got[None, 800, 800], second, got[None, 801, 800]) in ((4000, 0, 0, 1), (0, 4000, 1, 0))  # either text is the first by hash
+    assert got[1, 801, 800] == 1 and got[None, 30, 29] == 1 and sum(got.values()) == len(rows)
+
+
+def test_twins_of_a_slab():
+    rnd = np.random.default_rng(4)
+    h1, h2, k, place = (rnd.integers(0, n, 400) for n in (12, 2, 5, 6))
+    got = substrings.later_twins(h1, h2, k, place)
+    rows = list(zip(h1, h2, k, place, strict=True))
+    assert got.tolist() == [any(r[:2] == x[:2] and r[2:] > x[2:] for x in rows) for r in rows]
+    assert len(substrings.later_twins(*(np.zeros(0, np.int64) for _ in range(4)))) == 0
+
+
 def brute_links(rows, limit=0.8):
     sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for k, t in rows for w in [words(t)]}
     links, parent = collections.Counter(), {k: k for k in sets}
@@ -337,15 +359,21 @@ def test_sharding(docs, empty, n):
     assert sharding.shard(empty, n).count() == 0
 
 
-def test_shards_are_near_equal_with_a_hot_text(spark):
-    rows = [(i, "hot " * 40 if i % 3 == 0 else f"text {i} " * (i % 50)) for i in range(6000)]
-    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+@pytest.mark.parametrize("limits", [{}, {"part_rows": 40, "part_bytes": 3000}])
+def test_shards_are_near_equal_with_hot_texts(spark, limits):
+    """A third of all rows share a text, a third have none; small limits make second-level splitters."""
+    rows = [(i, "hot " * 40 if i % 3 == 0 else None if i % 3 == 1 else f"text {i} " * (i % 50)) for i in range(6000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), **limits).collect()
     size = collections.Counter()
     for r in got:
         size[r.shard] += r["size"]
     assert len(size) == 24 and max(size.values()) - min(size.values()) <= 2 * max(r["size"] for r in got)
-    held = collections.Counter(r.range_id for r in got)
-    assert max(held.values()) < 0.05 * len(rows)  # the hot text's ranges are subdivided
+    for s in size:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    held = collections.Counter((r.range_id, r.part) for r in got)
+    assert max(held.values()) < 0.05 * len(rows)  # the hot texts' ranges are subdivided, by bytes and by rows
+    if limits:
+        assert max(held.values()) <= 80 and any(part for _, part in held)
 
 
 def gif():
