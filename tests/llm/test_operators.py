@@ -199,6 +199,35 @@ def test_kernel_against_sets():
     assert (len(ca), len(cb), len(ca & cb)) == (len(grams(a)), len(grams(b)), len(grams(a) & grams(b)))
 
 
+def test_ridge_against_a_dense_solve():
+    """Nystroem with all rows as landmarks is kernel ridge regression itself."""
+    rnd, ridge = random.Random(6), 0.05
+    texts = [" ".join(rnd.choice(("aber auch nicht", "however also not", "mais aussi pas")[i % 3].split()) + rnd.choice("xyz") for _ in range(9)) for i in range(24)]
+    labels = [("de", "en", "fr")[i % 3] for i in range(24)]
+    sets = [np.unique(language.codes(t)) for t in texts]
+    model = language.solve(sets, labels, list(range(24)), ridge)
+    k = np.array([[len(np.intersect1d(a, b)) / math.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    y = np.array([[float(x == n) for n in model.languages] for x in labels])
+    dense = k @ np.linalg.solve(k + ridge * 24 / 3 * np.eye(24), y)
+    names, scores, margins = model.predict([*texts, None, "12"], language.Presence())
+    top = np.sort(dense, 1)
+    assert names == [*(model.languages[i] for i in dense.argmax(1)), "und", "und"]
+    assert np.allclose(scores[:24], np.clip(top[:, -1], 0, 1), atol=1e-4) and np.allclose(margins[:24], 1 - np.maximum(top[:, -2], 0) / top[:, -1], atol=1e-3)
+
+
+def test_language_sample_and_matrix_are_bounded(spark, monkeypatch):
+    rows = [(i, f"{'abcdefgh'[i % 8] * 3} wort{i % 8} {i}", f"l{i % 8}" if i % 9 else None) for i in range(1800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = collections.Counter(r.lang for r in language.chosen(df, "lang", "doc_id", 300, 80).collect())
+    assert got == {f"l{i}": 10 for i in range(8)}  # no language is left out
+    hashed = [(r[0] % (1 << 64), r.doc_id) for r in df.where("lang = 'l1'").select(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").collect()]
+    picked = {r.doc_id for r in language.chosen(df.where("lang = 'l1'"), "lang", "doc_id", 300, 10).collect()}
+    assert picked == {k for _, k in sorted(hashed)[:10]}
+    monkeypatch.setattr(language, "MODEL_BYTES", 20_000)
+    model = language.fit(df)
+    assert model.landmarks.nbytes <= 30_000 and len(model.languages) == 8
+
+
 def brute_repeats(rows, n=20):
     seen, out = {}, {}
     texts = {k: words(t) for k, t in rows}

@@ -1,6 +1,7 @@
 """The pipeline's stages, each on its own input, against brute force."""
 
 import collections
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,8 +50,40 @@ def test_language(stages):
 
 def test_language_rejects(spark):
     rows = [(1, "12 34 !!", "en", "s", 8), (2, None, "en", "s", 0), *[(i, "the and with upon little street houses there this " * 3, "en", "s", 9) for i in range(3, 9)], *[(i, "der die das und mit nicht auf eine kleine Gasse " * 3, "de", "s", 9) for i in range(9, 15)]]
+    rnd = random.Random(3)
+    gibberish = " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(2, 9))) for _ in range(80))
+    long = " ".join(rnd.choice("der die das und mit nicht auf eine kleine Gasse".split()) for _ in range(60_000))
+    rows += [(15, gibberish, None, "s", 9), (16, long, None, "s", 9), (None, long[:300], "de", "s", 9), (17, "Все люди рождаются свободными", None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF).collect()} == set(range(3, 15))
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF).collect()} == {*range(3, 15), 16, None}
+
+
+def awkward(spark):
+    """Nulls in every column, repeated rows, one key with several texts, clashing and extra columns."""
+    rnd = random.Random(9)
+    stems = "the and with upon little street houses there this river stone quiet town never where people walk".split()
+    prose = lambda n: " ".join(rnd.choice(stems) + rnd.choice(stems) for _ in range(n))
+    a, b, c = prose(120), prose(150), prose(90)
+    rows = [(1, a, "en", "s", 9), (1, a, "en", "s", 9), (1, b, "en", None, None), (2, a + " end", None, "s", 1), (None, c, "en", "s", 2), (None, c, "en", "t", 2), (None, prose(100), None, None, None), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (5, prose(40_000), "en", "s", 3), (6, "short", "en", "s", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return rows, df.withColumns({n: F.lit(7) for n in ("kept", "score", "i1", "k", "j", "length", "first", "_row")})
+
+
+def test_awkward_rows_through_all_stages(spark):
+    rows, docs = awkward(spark)
+    stages = dict(corpus_pipeline.STAGES)
+    good = [r for r in rows if r[1] and len(r[1]) > 5]
+    out = stages["quality rules"](spark, docs, SF)
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted(good, key=str) and tuple(out.columns) == corpus_pipeline.COLUMNS
+    out = stages["language ID"](spark, docs, SF)
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted((r for r in rows if r[1]), key=str)
+    kept = [tuple(r) for r in stages["n-gram Jaccard join"](spark, docs, SF).collect()]
+    want = [rows[0], rows[2], rows[4], rows[6], rows[7], rows[8], rows[9], rows[10]]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+    texts = [(tuple(r)[0], r.text) for r in stages["substring dedup"](spark, docs, SF).collect()]
+    assert len(texts) == len(rows) and (2, "") not in texts and sum(t == rows[0][1] for _, t in texts) == 2
+    pieces = stages["best-fit packing"](spark, docs, SF).collect()
+    assert sum(r.piece == 0 for r in pieces) == len(rows)
 
 
 def test_near_duplicates(stages):
