@@ -74,6 +74,20 @@ def clean(spark: SparkSession) -> None:
     _written.clear()
 
 
+#: Rows of a looked-up table that are broadcast at most; copies of a larger one's rows.
+LOOKUP, SPREAD = 1 << 17, 32
+
+
+def lookup(rows: DataFrame, found: DataFrame, key: str, name: str, how: str = "inner") -> DataFrame:
+    """rows joined with found (one row a key), however many rows share a key: found is broadcast if it
+    is small, which is checked; otherwise its rows are copied SPREAD times and rows dealt out to them."""
+    found = cut(found, name)
+    if found.limit(LOOKUP + 1).count() <= LOOKUP:
+        return rows.join(F.broadcast(found), key, how)
+    copies = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int")).join(copies, [key, "_salt"], how).drop("_salt")
+
+
 def words(text: Column) -> Column:
     """The words of a text, unchanged; none for null."""
     text = F.coalesce(text, F.lit(""))

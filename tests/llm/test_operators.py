@@ -18,7 +18,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from folia.llm import bpe, language, licenses, media, neardup, packing, quality, sharding, shingles, substrings, urls
+from folia.llm import bpe, common, language, licenses, media, neardup, packing, quality, sharding, shingles, substrings, urls
 
 LONG = " ".join(f"word{i % 97} x{i}" for i in range(30_000))
 ROWS = [
@@ -139,6 +139,23 @@ def test_licences(spark, docs, empty):
     assert licenses.scan(empty.withColumn("path", F.lit("p/q"))).count() == 0
 
 
+def test_large_lookups_are_spread(spark, monkeypatch):
+    rows = spark.createDataFrame([(i % 3 or None, i) for i in range(100)], "k int, v int")
+    found = spark.createDataFrame([(1, "a"), (3, "c")], "k int, n string")
+    small = sorted(map(tuple, common.lookup(rows, found, "k", "t", "left").collect()), key=str)
+    monkeypatch.setattr(common, "LOOKUP", 1)
+    assert sorted(map(tuple, common.lookup(rows, found, "k", "t", "left").collect()), key=str) == small and len(small) == 100
+
+
+def test_tables_in_between_are_deleted(spark):
+    before = common.written()
+    kept, gone = (common.cut(spark.range(3), "probe") for _ in range(2))
+    common.drop(gone)
+    assert common.written() - before == {kept.folder} and kept.count() == 3
+    common.drop_all_but(spark, before)
+    assert common.written() == before and not Path(kept.folder.removeprefix("file:")).exists()
+
+
 def cosine(library, template, sentence):
     tok = lambda s: collections.Counter(w for w in re.findall(r"[^\W_]+(?:\.[0-9]+)*", s.lower()) if w not in licenses.FUNCTION_WORDS)
     weigh = lambda c: {w: (1 + math.log(n)) * library.idf.get(w, library.most) for w, n in c.items()}
@@ -156,10 +173,17 @@ def test_licence_cosines_and_filter_against_brute_force(spark):
         rows.append((i, " ".join(x for x in w if rnd.random() < 0.85) + " " + " ".join(rnd.choice(pool) for _ in range(rnd.randrange(4)))))
     got = {r.doc_id: (r.licence, r.score) for r in licenses.matches(spark.createDataFrame(rows, "doc_id long, text string"), library).collect()}
     for i, t in rows:
-        best = min((-round(cosine(library, x, t), 6), name) for name, x in licenses.TEMPLATES)
+        best = min((-round(cosine(library, x, t), 6), name) for name, x in (*licenses.TEMPLATES, *licenses.NOTICES))
         assert got[i] == ((best[1], -best[0]) if -best[0] >= library.threshold else (None, None))
 
 
+def test_specific_licences_come_first(spark):
+    rows = [("Copyright 2020 A. All rights reserved.\n\n" + licenses._REDISTRIBUTION, "BSD-2-Clause"), ("All rights reserved.\n\n" + licenses._REDISTRIBUTION + "\n\n3. " + licenses._PROMOTION, "BSD-3-Clause"),
+            ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS", "Apache-2.0"), ("Mit. So geht es.", None), ("All rights reserved.", "All-Rights-Reserved")]
+    got = licenses.matches(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, text string"), licenses.Library()).collect()
+    assert {r.i: r.licence for r in got} == {i: name for i, (_, name) in enumerate(rows)}
+
+
 def test_wrapped_licences(spark):
     """Notices over several lines, as comments and within longer files."""
     code = "\n\n" + "\n".join(f"value{i} = compute{i}(other{i})" for i in range(200)) + "\n"
