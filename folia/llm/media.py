@@ -8,7 +8,8 @@ settles the column's type, whatever was declared; structures inside are carved a
 Stored form for payloads: 8-bit mono PCM in a WAVE file, one sample a byte. Reading back goes
 through the sniffer: the validated data chunk is the payload.
 
-Edge cases: null media is of no type, with no payload and nothing embedded; truncated structures
+Edge cases: null text is an empty one, stored as one block of zeros; null media is of no type, with no
+payload and nothing embedded; very long texts are stored and read whole; truncated structures
 aren't recognised (the declared type stays, valid = false); overlapping finds: the earliest start
 wins, what lies inside a find isn't reported again; repeated rows give equal values; an empty table
 gives an empty table; other columns are ignored.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left
 from functools import cache
 
 import ahocorasick
@@ -144,35 +146,48 @@ def _bmp(b: bytes, at: int) -> int:
 
 
 def _gzip(b: bytes, at: int) -> int:
-    unzip = zlib.decompressobj(31)
-    rest = b[at:]
+    unzip, view, i = zlib.decompressobj(31), memoryview(b), at
     try:
-        while rest and not unzip.eof:
-            unzip.decompress(rest, 1 << 20)
-            rest = unzip.unconsumed_tail or (unzip.unused_data if unzip.eof else b"")
+        while i < len(b) and not unzip.eof:
+            rest = view[i : i + (1 << 16)]
+            i += len(rest)
+            while rest and not unzip.eof:
+                unzip.decompress(rest, 1 << 20)
+                rest = unzip.unconsumed_tail
     except zlib.error:
         return 0
-    return len(b) - at - len(unzip.unused_data) if unzip.eof else 0
-
-
-def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b.rfind(b"startxref", at, end) >= 0 else 0
-
+    return i - at - len(unzip.unused_data) if unzip.eof else 0
+
+
+class Ends:
+    """Where structures of an open length may end, found in the same pass as the magic bytes: nothing
+    is searched again for each start."""
+
+    def __init__(self, b: bytes, marks: list[tuple[bytes, int]]):
+        places = lambda m: [at for mark, at in marks if mark == m]
+        self.eof, self.xref, self.zips = places(b"%%EOF"), places(b"startxref"), {}
+        for i in places(b"PK\x05\x06"):
+            if i + 22 <= len(b):
+                size, place, note = struct.unpack_from("<IIH", b, i + 12)
+                start = i - place - size
+                if start >= 0 and (not size or b[start + place : start + place + 4] == b"PK\x01\x02") and i + 22 + note <= len(b):
+                    self.zips.setdefault(start, i + 22 + note)
+
+    def pdf(self, at: int) -> int:
+        """The first end after a cross reference's."""
+        end = bisect_left(self.eof, at)
+        if end == len(self.eof):
+            return 0
+        xref = bisect_left(self.xref, at)
+        return self.eof[end] + 5 - at if xref < len(self.xref) and self.xref[xref] < self.eof[end] else 0
 
-def _zip(b: bytes, at: int) -> int:
-    i = at
-    while (i := b.find(b"PK\x05\x06", i)) >= 0 and i + 22 <= len(b):
-        size, place, note = struct.unpack_from("<IIH", b, i + 12)
-        if at + place + size == i and (not size or b[at + place : at + place + 4] == b"PK\x01\x02") and i + 22 + note <= len(b):
-            return i + 22 + note - at
-        i += 4
-    return 0
+    def zip(self, at: int) -> int:
+        return self.zips.get(at, at) - at
 
 
 VALID = {
     "audio/wav": _wav, "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "image/bmp": _bmp,
-    "application/gzip": _gzip, "application/pdf": _pdf, "application/zip": _zip,
+    "application/gzip": _gzip,
 }
 
 
@@ -181,19 +196,24 @@ def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for kind, magic, at in MAGIC:
         a.add_word(magic.decode("latin-1"), (kind, len(magic) + at))
+    for mark in (b"%%EOF", b"startxref", b"PK\x05\x06"):
+        a.add_word(mark.decode("latin-1"), (mark, len(mark)))
     a.make_automaton()
     return a
 
 
 def scan(b: bytes, outer: bool = True) -> list[tuple[str, int, int]]:
     """Validated structures as (type, offset, length), by offset. One at 0 doesn't hide those in it."""
+    found = [(kind, end + 1 - n) for end, (kind, n) in automaton().iter(b.decode("latin-1"))]
+    ends = Ends(b, [f for f in found if isinstance(f[0], bytes)])
     out, free = [], 0
-    for end, (kind, n) in automaton().iter(b.decode("latin-1")):
-        at = end + 1 - n
-        if at < free or not (length := VALID[kind](b, at)):
+    for kind, at in found:
+        if isinstance(kind, bytes) or at < free:
             continue
-        out.append((kind, at, length))
-        free = at + length if at or not outer else 0
+        length = ends.pdf(at) if kind == "application/pdf" else ends.zip(at) if kind == "application/zip" else VALID[kind](b, at)
+        if length:
+            out.append((kind, at, length))
+            free = at + length if at or not outer else 0
     return out
 
 

@@ -14,7 +14,8 @@ The query's labels are by seed: hosts with a name of SEED_BLOCK are to be blocke
 urls whose hash falls in the held-out quarter aren't learned from.
 
 Edge cases: null url, or one without `://`, has an empty host and path, fits no rule and is allowed;
-without labels of both kinds the model allows everything; repeated rows are judged each; an empty
+without labels of both kinds the model allows everything; repeated rows are judged each; very long
+urls are read whole; of splits with equal gains the first feature's lowest cutoff is taken; an empty
 table gives an empty table; other columns are ignored.
 """
 

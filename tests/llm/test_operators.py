@@ -459,6 +459,15 @@ def test_media(spark, docs, empty):
     assert media.sniff(media.store(empty)).count() == 0
 
 
+def test_hostile_media_cost_no_more_than_their_length():
+    began = time.time()
+    for b in (b"%PDF-" * 200_000, b"PK\x03\x04" * 200_000 + b"PK\x05\x06" * 50_000, b"\x1f\x8b\x08\0" * 100_000, b"%PDF-1 %%EOF" * 50_000 + b"startxref"):
+        assert media.scan(b) == []
+    assert time.time() - began < 20
+    one = b"%PDF-1.4 startxref 0 %%EOF"
+    assert media.scan(b"..%PDF-" + one) == [("application/pdf", 2, 5 + len(one))]
+
+
 def brute_quality(t):
     w, lines = words(t), [x for x in (t or "").split("\n") if words(x)]
     three = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
@@ -513,6 +522,67 @@ def test_urls(spark, empty):
     assert urls.judge(x.limit(0), model).count() == 0
 
 
+def brute_boost(x, y, weight, trees, depth, rate):
+    """Newton boosting with every split of every node tried row by row. Returns margins of the rows."""
+    edges = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, urls.BINS + 1)[1:-1]))) for j in range(x.shape[1])]
+    share = (y * weight).sum() / weight.sum()
+    margin = np.full(len(y), math.log(share / (1 - share)))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = weight * (p - y), weight * p * (1 - p)
+        step = np.zeros(len(y))
+
+        def grow(rows, level):
+            best, at = 1e-9, None
+            for j, cuts in enumerate(edges if level < depth else []):
+                for c in cuts:
+                    low = rows[x[rows, j] <= c]
+                    high = rows[x[rows, j] > c]
+                    if min(len(low), len(high)) < urls.LEAF:
+                        continue
+                    gain = g[low].sum() ** 2 / (h[low].sum() + 1) + g[high].sum() ** 2 / (h[high].sum() + 1) - g[rows].sum() ** 2 / (h[rows].sum() + 1)
+                    if gain > best + 1e-9:
+                        best, at = gain, (low, high)
+            if at is None:
+                step[rows] = -rate * g[rows].sum() / (h[rows].sum() + 1)
+            else:
+                for part in at:
+                    grow(part, level + 1)
+
+        grow(np.arange(len(y)), 0)
+        margin += step
+    return margin
+
+
+def test_boosting_against_every_split():
+    rnd = np.random.default_rng(12)
+    x = np.stack([rnd.normal(size=300), rnd.integers(0, 5, 300).astype(float), np.ones(300)], 1)
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 2) ^ (rnd.random(300) < 0.1)).astype(float)
+    weight = np.where(y > 0, 0.5, 2.0)
+    got = urls.boost(x, y, weight, trees=5, depth=2).margin(x)
+    assert np.allclose(got, brute_boost(x, y, weight, 5, 2, urls.RATE), atol=1e-6)
+
+
+def test_hosts_paths_and_rules_against_sql(spark):
+    """The columns that SQL can say, on the whole table and on awkward urls."""
+    import duckdb
+
+    rows = [(i, u) for i, u in enumerate(["HTTP://A.Example.COM/en/7?x", "x://y://z/en/", "://com/en/", "a:/b", "", None, "http://net/de/8#/de/", "http://h.net?/de/", "http://É.org/es/", "http://example.net/de/8" + "x" * 100_000, "http://xnet/de/"])]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    if Path("/root/testdata/sf0.01").exists():
+        pages = pages.unionByName(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select((F.col("page_id") + 1000).alias("page_id"), "url"))
+    table = pages.toArrow()
+    rules = ", ".join(f"('{d}', '{p}')" for _, d, p in urls.RULES)
+    sql = f"""WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM table_),
+    h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)
+    SELECT page_id, host, path, (SELECT d || p FROM (VALUES {rules}) AS v(d, p) WHERE (host = d OR ends_with(host, '.' || d)) AND starts_with(path, p) ORDER BY length(d) + length(p) DESC LIMIT 1) AS rule FROM h"""
+    db = duckdb.connect()
+    db.register("table_", table)
+    want = sorted(db.execute(sql).fetchall())
+    got = urls.judge(pages, urls.fit(spark.createDataFrame([], "url string, label int"))).select("page_id", "host", "path", "rule").collect()
+    assert sorted(map(tuple, got)) == [tuple(r) for r in want]
+
+
 def test_trees_generalise(spark):
     rnd = random.Random(4)
     name = lambda bad: "-".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(4, 9))) for _ in range(2 if bad else 1)) + ("7" * rnd.randrange(3) if bad else "")
