@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from folia.llm.batches import in_python, ship
-from folia.llm.common import cut, drop, split_words, table
+from folia.llm.common import cut, drop, lookup, split_words, table
 from folia.llm.shingles import MinHash, WordHashes, bands_for, constants, windows
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
@@ -183,19 +183,24 @@ def verify(members: DataFrame, n: int, similarity: float, text: str) -> DataFram
     return members.mapInArrow(run, "node bigint, links bigint, root bigint")
 
 
-def dealt(bands: DataFrame, candidates: DataFrame, block: int) -> DataFrame:
+def dealt(same: DataFrame, candidates: DataFrame, block: int) -> DataFrame:
     """(node, group, bucket, blocks): the groups in which each candidate is verified. A component is
     one group; if it has more than one block's nodes and its buckets would ship fewer rows than its
-    pairs of blocks, its buckets of two nodes or more are."""
-    sized = candidates.groupBy("comp").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    large = candidates.join(sized.where("blocks > 1"), "comp")
-    in_bucket = bands.join(large.select("node", "comp"), "node")
-    buckets = in_bucket.groupBy("comp", "band").agg(F.count("*").alias("c")).where("c > 1")
-    shipped = buckets.groupBy("comp").agg(F.sum(F.col("c") * F.ceil(F.col("c") / block)).alias("rows"))
-    split = sized.join(shipped, "comp").where(F.col("rows") < F.col("n") * F.col("blocks")).select("comp")
-    whole = candidates.join(sized, "comp").join(split, "comp", "left_anti").select("node", F.col("comp").alias("group"), F.lit(False).alias("bucket"), "blocks")
-    parts = in_bucket.join(buckets.join(split, "comp", "left_semi"), ["comp", "band"])
-    return whole.unionByName(parts.select("node", F.col("band").alias("group"), F.lit(True).alias("bucket"), F.ceil(F.col("c") / block).cast("int").alias("blocks")))
+    pairs of blocks, its buckets of two nodes or more are. same: (node, bands, ...)."""
+    sized = cut(candidates.groupBy("comp").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "sized")
+
+    def in_buckets(which: DataFrame) -> DataFrame:
+        """(node, comp, band) of the components."""
+        nodes = lookup(candidates, which.select("comp"), "comp", "large")
+        return nodes.join(same.select("node", "bands"), "node").select("node", "comp", F.explode("bands").alias("band"))
+
+    sum_up = lambda x: x.groupBy("comp", "band").agg(F.count("*").alias("c")).where("c > 1")
+    shipped = sum_up(in_buckets(sized.where("blocks > 1"))).groupBy("comp").agg(F.sum(F.col("c") * F.ceil(F.col("c") / block)).alias("rows"))
+    split = sized.join(shipped, "comp", "left").select("comp", "blocks", F.coalesce(F.col("rows") < F.col("n") * F.col("blocks"), F.lit(False)).alias("split"))
+    whole = lookup(candidates, split.where("NOT split"), "comp", "whole").select("node", F.col("comp").alias("group"), F.lit(False).alias("bucket"), "blocks")
+    parts = in_buckets(split.where("split"))
+    parts = parts.join(sum_up(parts), ["comp", "band"]).select("node", F.col("band").alias("group"), F.lit(True).alias("bucket"), F.ceil(F.col("c") / block).cast("int").alias("blocks"))
+    return whole.unionByName(parts)
 
 
 def classes(docs: DataFrame, words: int, similarity: float, recall: float, block: int, text: str, key: str) -> tuple[DataFrame, DataFrame]:
@@ -210,7 +215,7 @@ def classes(docs: DataFrame, words: int, similarity: float, recall: float, block
     bands = cut(same.select("node", F.explode("bands").alias("band")), "bands")
     buckets = bands.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("c")).where("c > 1").select("band", "b")
     candidates = components(bands.join(buckets, "band").select(F.col("node").alias("a"), "b"), "candidates")
-    groups = cut(dealt(bands, candidates, block), "groups")
+    groups = cut(dealt(same, candidates, block), "groups")
     drop(bands)
     # Each text once per block pair of its group: once for a group of one block.
     found = groups.select("node").distinct().join(same, "node").select("node", "copies", "bands", F.col("pick.i1").alias("i1"), F.col("pick.i2").alias("i2"))

@@ -44,47 +44,68 @@ from folia.llm.batches import in_python, ship
 from folia.llm.common import cut, table
 
 VOCABULARY, CAPACITY, END = "word_bpe_49k.json", 2048, 0
-#: Remembered words per worker at most, and their length.
+#: Remembered words, and chunks, per worker at most; their length.
 WORDS, LONG = 1 << 19, 64
 #: Pieces that one task numbers; rows of a round that one range sweeps; flows at most.
 RUN, RANGE, FLOWS = 1 << 20, 256, 1 << 20
 
+# Characters that str.split() takes for white space and the vocabulary doesn't.
+NO_SPACE = re.compile("[\x1c-\x1f]")
+BLANKS = re.compile(r"[ \n]+")
 # The vocabulary's own splitting, for texts of Latin letters (up to U+024F, without U+0130, whose
 # lower case has two characters), lower-cased before: these need no normalisation.
 _N = r"\d\xb2\xb3\xb9\xbc-\xbe"
 SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W{_N}_]+|[{_N}]|(?:[^\w\t-\r \x85\xa0]|_)+")
-BLANKS = re.compile(r"[ \n]+")
 
 
 class Words:
-    """Ids of texts; those of single words are remembered, up to a bound."""
+    """Ids of texts. Those of chunks between blanks, and of the words in them, are remembered, up to
+    a bound; unknown words are encoded many at a time, as one text."""
 
     def __init__(self, path: str):
         self.model = Tokenizer.from_file(path)
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids. Words are encoded apart: nothing in this vocabulary
+        """Little-endian unsigned 32-bit ids. Chunks are encoded apart: nothing in this vocabulary
         crosses a space or line break. Special tokens do, so a text with one goes to the library whole."""
         if any(s in text for s in self.special):
             return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if text.isascii() or (max(text) <= "ɏ" and "İ" not in text):
-            parts = SPLIT.findall(text.lower())
-        else:
-            parts = [p for p in BLANKS.split(text) if p]
-        known = self.known
+        parts = text.split() if text.isascii() and not NO_SPACE.search(text) else [p for p in BLANKS.split(text) if p]
         try:
-            return b"".join(map(known.__getitem__, parts))
+            return b"".join(map(self.chunks.__getitem__, parts))
         except KeyError:
-            pass
-        new = list({p for p in parts if p not in known})
-        if len(known) + len(new) > WORDS:
-            known.clear()
-            new = list(set(parts))
-        found = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        out = b"".join([found[p] if p in found else known[p] for p in parts])
-        known.update((p, i) for p, i in found.items() if len(p) <= LONG)
+            found = self.known(self.chunks, dict.fromkeys(parts), self.in_words)
+            return b"".join(map(found.__getitem__, parts))
+
+    @staticmethod
+    def known(memory: dict[str, bytes], wanted: dict[str, None], make) -> dict[str, bytes]:
+        """wanted with their ids: remembered, or made and remembered."""
+        out = {w: memory[w] for w in wanted if w in memory}
+        new = [w for w in wanted if w not in out]
+        out.update(zip(new, make(new), strict=True))
+        if len(memory) + len(new) > WORDS:
+            memory.clear()
+        memory.update((w, out[w]) for w in new[:WORDS] if len(w) <= LONG)
+        return out
+
+    def in_words(self, chunks: list[str]) -> list[bytes]:
+        split = [SPLIT.findall(c.lower()) if c.isascii() or (max(c) <= "ɏ" and "İ" not in c) else None for c in chunks]
+        found = self.known(self.words, dict.fromkeys(w for ws in split if ws for w in ws), self.encode)
+        other = iter(self.model.encode_batch_fast([c for c, ws in zip(chunks, split, strict=True) if ws is None], add_special_tokens=False))
+        return [np.array(next(other).ids, "<u4").tobytes() if ws is None else b"".join(map(found.__getitem__, ws)) for ws in split]
+
+    def encode(self, words: list[str], many: int = 4096) -> list[bytes]:
+        """Of words, as SPLIT has them."""
+        out = []
+        for i in range(0, len(words), many):
+            e = self.model.encode(" ".join(words[i : i + many]), add_special_tokens=False)
+            word = np.array(e.word_ids, np.int64)
+            ends = [0, *(4 * (np.flatnonzero(word[1:] != word[:-1]) + 1)).tolist(), 4 * len(word)]
+            ids = np.array(e.ids, "<u4").tobytes()
+            out += [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)] if len(word) else []
         return out
 
 
