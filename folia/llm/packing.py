@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, insort
+from contextlib import contextmanager
 from functools import cache, partial
 
 import numpy as np
@@ -55,58 +56,89 @@ BLANKS = re.compile(r"[ \n]+")
 # The vocabulary's own splitting, for texts of Latin letters (up to U+024F, without U+0130, whose
 # lower case has two characters), lower-cased before: these need no normalisation.
 _N = r"\d\xb2\xb3\xb9\xbc-\xbe"
-SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W{_N}_]+|[{_N}]|(?:[^\w\t-\r \x85\xa0]|_)+")
+SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W{_N}_]+|[{_N}]|\n|(?:[^\w\t-\r \x85\xa0]|_)+")
+# Stands between chunks; ids are below 2^16, so it is in no run of their bytes.
+BREAK = b"\xff" * 4
+
+
+def byte_signs() -> dict[int, int]:
+    """The sign that byte-level vocabularies write for each byte: printable ones for themselves, the
+    others from U+0100 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*plain}))}
 
 
 class Words:
     """Ids of texts. Those of chunks between blanks, and of the words in them, are remembered, up to
-    a bound; unknown words are encoded many at a time, as one text."""
+    a bound; unknown chunks are split many at a time, as one text."""
 
     def __init__(self, path: str):
         self.model = Tokenizer.from_file(path)
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.signs = byte_signs()
 
     def ids(self, text: str) -> bytes:
+        return self.ids_of([text])[0]
+
+    def ids_of(self, texts: list[str | None], many: int = 1 << 20) -> list[bytes]:
         """Little-endian unsigned 32-bit ids. Chunks are encoded apart: nothing in this vocabulary
         crosses a space or line break. Special tokens do, so a text with one goes to the library whole."""
-        if any(s in text for s in self.special):
-            return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts = text.split() if text.isascii() and not NO_SPACE.search(text) else [p for p in BLANKS.split(text) if p]
-        try:
-            return b"".join(map(self.chunks.__getitem__, parts))
-        except KeyError:
-            found = self.known(self.chunks, dict.fromkeys(parts), self.in_words)
-            return b"".join(map(found.__getitem__, parts))
+        out: list[bytes] = []
+        parts: list[list[str] | None] = []
+        size = 0
+        for text in texts:
+            if text and any(s in text for s in self.special):
+                parts.append(None)
+            elif not text:
+                parts.append([])
+            else:
+                parts.append(text.split() if text.isascii() and not NO_SPACE.search(text) else [p for p in BLANKS.split(text) if p])
+            size += len(text or "")
+            if size > many:
+                out += self.joined(texts[len(out) :], parts)
+                parts, size = [], 0
+        return out + self.joined(texts[len(out) :], parts)
+
+    def joined(self, texts: list[str | None], parts: list[list[str] | None]) -> list[bytes]:
+        whole = lambda t: np.array(self.model.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        with self.known(self.chunks, {c for p in parts if p for c in p}, self.in_words) as found:
+            return [whole(t) if p is None else b"".join(map(found.__getitem__, p)) for t, p in zip(texts, parts, strict=False)]
 
     @staticmethod
-    def known(memory: dict[str, bytes], wanted: dict[str, None], make) -> dict[str, bytes]:
-        """wanted with their ids: remembered, or made and remembered."""
-        out = {w: memory[w] for w in wanted if w in memory}
-        new = [w for w in wanted if w not in out]
-        out.update(zip(new, make(new), strict=True))
+    @contextmanager
+    def known(memory: dict[str, bytes], wanted: set[str], make):
+        """A mapping that has all that is wanted: the memory, which forgets long ones afterwards."""
+        new = list(wanted.difference(memory))
         if len(memory) + len(new) > WORDS:
             memory.clear()
-        memory.update((w, out[w]) for w in new[:WORDS] if len(w) <= LONG)
-        return out
+            new = list(wanted)
+        memory.update(zip(new, make(new), strict=True))
+        yield memory
+        if len(memory) > WORDS:
+            memory.clear()
+        for w in [w for w in new if len(w) > LONG]:
+            memory.pop(w, None)
 
     def in_words(self, chunks: list[str]) -> list[bytes]:
-        split = [SPLIT.findall(c.lower()) if c.isascii() or (max(c) <= "ɏ" and "İ" not in c) else None for c in chunks]
-        found = self.known(self.words, dict.fromkeys(w for ws in split if ws for w in ws), self.encode)
-        other = iter(self.model.encode_batch_fast([c for c, ws in zip(chunks, split, strict=True) if ws is None], add_special_tokens=False))
-        return [np.array(next(other).ids, "<u4").tobytes() if ws is None else b"".join(map(found.__getitem__, ws)) for ws in split]
-
-    def encode(self, words: list[str], many: int = 4096) -> list[bytes]:
-        """Of words, as SPLIT has them."""
-        out = []
-        for i in range(0, len(words), many):
-            e = self.model.encode(" ".join(words[i : i + many]), add_special_tokens=False)
-            word = np.array(e.word_ids, np.int64)
-            ends = [0, *(4 * (np.flatnonzero(word[1:] != word[:-1]) + 1)).tolist(), 4 * len(word)]
-            ids = np.array(e.ids, "<u4").tobytes()
-            out += [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)] if len(word) else []
-        return out
+        if not chunks:
+            return []
+        text = "\n".join(chunks)
+        if not text.isascii() and (max(text) > "ɏ" or "İ" in text):  # the library itself for other scripts
+            plain = [c.isascii() or (max(c) <= "ɏ" and "İ" not in c) for c in chunks]
+            other = iter(self.model.encode_batch_fast([c for c, p in zip(chunks, plain, strict=True) if not p], add_special_tokens=False))
+            own = iter(self.in_words([c for c, p in zip(chunks, plain, strict=True) if p]))
+            return [next(own) if p else np.array(next(other).ids, "<u4").tobytes() for p in plain]
+        words = SPLIT.findall(text.lower())
+        with self.known(self.words, {*words}, self.encode) as found:
+            return b"".join(map(found.__getitem__, words)).split(BREAK)
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Of words, as SPLIT has them; that pattern and lower case are all that precedes the merges."""
+        signs, merge = self.signs, self.model.model.tokenize
+        spelt = (w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(signs) for w in words)
+        return [BREAK if w == "\n" else b"".join([t.id.to_bytes(4, "little") for t in merge(s)]) for w, s in zip(words, spelt, strict=True)]
 
 
 @cache
@@ -126,8 +158,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, text: str = "te
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
             row, piece, start, ids = [], [], [], []
-            for r, t in enumerate(b.column(1).to_pylist()):
-                x = (model.ids(t) if t else b"") + end
+            for r, x in enumerate(model.ids_of(b.column(1).to_pylist())):
+                x += end
                 for i, at in enumerate(range(0, len(x), 4 * capacity)):
                     row.append(r)
                     piece.append(i)
