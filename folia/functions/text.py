@@ -2,29 +2,50 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from folia.functions.porter import stem
 from folia.shipping import ship
 
 # A token is a maximal run of letters, digits, private-use characters and marks.
 TOKEN = r"[\p{L}\p{N}\p{Co}\p{Mn}\p{Mc}]+"
+# Combining marks that folding takes away.
+MARKS = range(0x300, 0x332)
 # Nasal and the consonants before which nasal + virama is written as anusvara.
 NASALS = (("ङ", "क-ङ"), ("ञ", "च-ञ"), ("ण", "ट-ण"), ("न", "त-न"), ("म", "प-म"))
 # Dash and tilde signs that a title's key takes for one.
 DASHES = "~∼～⁓‐‑‒–—―−-"
 # Names under which a language is stored.
 LANGUAGE_ALIASES = {"english": ("English", "en", "EN"), "hindi": ("Hindi", "hi", "HI"), "en": ("English", "en", "EN"), "hi": ("Hindi", "hi", "HI")}
+MONTHS_HINDI = ("जनवरी", "फ़रवरी", "मार्च", "अप्रैल", "मई", "जून", "जुलाई", "अगस्त", "सितंबर", "अक्टूबर", "नवंबर", "दिसंबर")
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased tokens in order; none for null."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    """Tokens in order, in lower case and without Latin diacritics; none for null."""
+    return F.regexp_extract_all(fold_latin(F.lower(F.coalesce(text, F.lit("")))), F.lit(TOKEN), F.lit(0))
+
+
+def token_words(text: str) -> tuple[str, ...]:
+    """tokens() of a short text, such as a query."""
+    text = text.lower().translate(_fold_map())
+    kept = (c if (k := unicodedata.category(c))[0] in "LN" or k in ("Co", "Mn", "Mc") else " " for c in text)
+    return tuple("".join(kept).split())
+
+
+def analysed_word(word: str) -> str:
+    """The form of a token in the stemmed index: composed, anusvara for nasals, folded, stemmed."""
+    word = unicodedata.normalize("NFC", word)
+    for nasal, group in NASALS:
+        word = re.sub(f"{nasal}्(?=[{group}])", "ं", word)
+    return stem(word.translate(_fold_map()))
 
 
 @F.pandas_udf(StringType())
@@ -45,15 +66,22 @@ def collapse_nasals(text: Column) -> Column:
     return text
 
 
+@cache
 def _latin_folds() -> tuple[str, str]:
     pairs = [(chr(i), unicodedata.normalize("NFD", chr(i))[0]) for i in range(0xC0, 0x250)]
     pairs = [(a, b) for a, b in pairs if a != b and b.isascii()]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    return "".join(a for a, _ in pairs) + "".join(map(chr, MARKS)), "".join(b for _, b in pairs)
+
+
+@cache
+def _fold_map() -> dict[int, str | None]:
+    old, new = _latin_folds()
+    return {ord(c): new[i] if i < len(new) else None for i, c in enumerate(old)}
 
 
 def fold_latin(text: Column) -> Column:
-    """Latin letters without diacritics; other scripts keep their marks."""
-    return F.translate(text, *_latin_folds())
+    """Latin letters without diacritics, composed or combining; other scripts keep their marks."""
+    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(F.translate(text, *_latin_folds()))
 
 
 def strip_pattern(text: Column, pattern: str) -> Column:
@@ -157,12 +185,20 @@ def place_name(location: Column, rules: tuple[tuple[str, tuple[str, ...]], ...],
     return F.when(F.coalesce(location, F.lit("")) == "", "Unknown").otherwise(F.coalesce(F.nullif(first_match(location, rules, ""), F.lit("")), fallback))
 
 
-def readable_date(date: Column) -> Column:
-    """`1974-05-08` as 8 May 1974; anything else as it is."""
+def readable_date(date: Column, months: tuple[str, ...] = MONTHS) -> Column:
+    """`1974-05-08` as 8 May 1974, in any language's months; anything else as it is."""
     iso = date.rlike(r"^\d{4}-\d{2}-\d{2}")
     month, day = F.substring(date, 6, 2).try_cast("int"), F.substring(date, 9, 2).try_cast("int")
     good = iso & month.between(1, 12) & day.between(1, 31)
-    return F.when(good, F.concat_ws(" ", day.cast("string"), F.get(F.array(*map(F.lit, MONTHS)), month - 1), F.substring(date, 1, 4))).otherwise(date)
+    return F.when(good, F.concat_ws(" ", day.cast("string"), F.get(F.array(*map(F.lit, months)), month - 1), F.substring(date, 1, 4))).otherwise(date)
+
+
+def translation_line(translated_from: Column, source: Column | None = None) -> Column:
+    """`translated from Hindi (source)`; null for originals."""
+    line = F.concat(F.lit("translated from "), canonical_language(translated_from))
+    if source is not None:
+        line = F.concat(line, F.coalesce(F.concat(F.lit(" ("), F.nullif(F.trim(source), F.lit("")), F.lit(")")), F.lit("")))
+    return F.when(~is_original(translated_from), line)
 
 
 def display_date(date: Column) -> Column:
@@ -172,12 +208,10 @@ def display_date(date: Column) -> Column:
 
 def stemmed(vocabulary: DataFrame, term: str = "term") -> DataFrame:
     """(term, stem) of each distinct term: Python sees the vocabulary once, never the text."""
-    from folia.functions.porter import stem
-
     ship(vocabulary.sparkSession)
 
     @F.pandas_udf(StringType())
     def run(s: pd.Series) -> pd.Series:
-        return s.map(stem)
+        return s.map(analysed_word)
 
     return vocabulary.select(term).distinct().withColumn("stem", run(F.col(term)))

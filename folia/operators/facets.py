@@ -30,9 +30,18 @@ def date_range(events: DataFrame) -> DataFrame:
 
 
 def hierarchy(events: DataFrame) -> DataFrame:
-    """(year, series, titles): titles sorted; a date without a year is Undated."""
+    """(year, series, title, event_id) in that order, a row a document; a date without a year is Undated."""
     y = F.coalesce(F.nullif(F.regexp_extract("date", r"^(\d{4})", 1), F.lit("")), F.lit("Undated"))
-    return events.where(F.col("title").isNotNull()).groupBy(y.alias("year"), series(F.col("title")).alias("series")).agg(F.array_sort(F.collect_list("title")).alias("titles"))
+    rows = events.where(F.col("title").isNotNull()).select(y.alias("year"), series(F.col("title")).alias("series"), "title", "event_id")
+    return rows.orderBy("year", "series", "title", "event_id")
+
+
+def facet(events: DataFrame, value: Column, unknown: str = "Unknown", by_value: bool = False) -> DataFrame:
+    """(cluster, cnt) of a facet: most frequent first, or the greatest value first (years); what is
+    unknown comes last."""
+    c = F.coalesce(F.nullif(value.cast("string"), F.lit("")), F.lit(unknown))
+    counts = events.groupBy(c.alias("cluster")).agg(F.count("*").alias("cnt"))
+    return counts.orderBy((F.col("cluster") == unknown).cast("int"), F.desc("cluster" if by_value else "cnt"), "cluster")
 
 
 def timeline(events: DataFrame, bounds: tuple, unknown: str = "Unknown") -> DataFrame:
@@ -81,9 +90,13 @@ def weighted_tags(rollup: DataFrame) -> DataFrame:
 
 
 def talks_in_series(events: DataFrame) -> DataFrame:
-    """(series, first_date, talks): talks by date, series by their first."""
-    x = events.groupBy(series(F.col("title")).alias("series")).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("date", F.lit("")).alias("date"), "event_id"))).alias("s"))
-    return x.select("series", F.col("s")[0]["date"].alias("first_date"), F.transform("s", lambda s: s["event_id"]).alias("talks")).orderBy("first_date", "series")
+    """(series, first_date, n, event_id): talks numbered by date in their series, series by their first;
+    a row a talk, whatever a series' size."""
+    x = events.select(series(F.col("title")).alias("series"), F.coalesce("date", F.lit("")).alias("date"), "event_id")
+    first = x.groupBy("series").agg(F.min("date").alias("first_date"))
+    w = W.partitionBy("series").orderBy("date", "event_id")
+    out = x.withColumn("n", F.row_number().over(w)).join(first, "series")
+    return out.select("series", "first_date", "n", "event_id").orderBy("first_date", "series", "n")
 
 
 def missing_values(events: DataFrame) -> DataFrame:
@@ -93,6 +106,8 @@ def missing_values(events: DataFrame) -> DataFrame:
 
 def page_of(events: DataFrame, page: int = 1, per_page: int = 50, q: str | None = None, tags: DataFrame | None = None, tag: str | None = None) -> DataFrame:
     """One page of the listing, by date, title and id; q: substring of title or place."""
+    if page < 1 or not 1 <= per_page <= 200:
+        raise ValueError("page is 1 or more, per_page 1 to 200")
     x = events.where(F.col("title").isNotNull())
     if q:
         x = x.where(F.col("title").ilike(f"%{q}%") | F.col("location").ilike(f"%{q}%"))

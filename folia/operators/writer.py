@@ -46,11 +46,55 @@ def plan_batch(events: DataFrame, actions: DataFrame) -> DataFrame:
 
 def apply_batch(events: DataFrame, planned: DataFrame, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
     """(events, report): all actions or, if one fails, none. planned has the events' columns too."""
+    tables, report = apply_documents({"events": events}, planned, dry_run)
+    return tables["events"], report
+
+
+def apply_documents(tables: dict[str, DataFrame], planned: DataFrame, dry_run: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables, report) of a batch over whole documents: all actions or, if one fails, none.
+
+    tables: events, and if kept paragraphs, tags, or any others with event_id. planned: plan_batch's
+    rows with the events' columns, and `paragraphs`, an array of the new texts in order (or of structs
+    with content and role). A written document's paragraphs are replaced, numbered from 1, a modified
+    one keeps its id, title and tags; what a deleted document has in any table goes. The results are
+    meant for one Store.publish, so that readers see all of it or nothing."""
     report = planned.groupBy("action", F.col("error").isNull().alias("ok")).agg(F.count("*").alias("n"))
     if dry_run or planned.where(F.col("error").isNotNull()).limit(1).count():
-        return events, report
+        return tables, report
+    events = tables["events"]
+    gone = planned.where(F.col("action") == "delete").select("event_id")
     write = planned.where(F.col("action") != "delete").withColumn("event_id", F.coalesce(F.col("event_id"), new_id(F.col("title"), F.col("language"))))
-    return delete(upsert(events, write), planned.where(F.col("action") == "delete")), report
+    out = {name: delete(df, gone) for name, df in tables.items()}
+    old = events.select("event_id", F.col("title").alias("_t"))
+    kept = write.join(old, "event_id", "left").withColumn("title", F.coalesce("_t", "title"))
+    out["events"] = upsert(out["events"], kept)
+    if "paragraphs" in tables and "paragraphs" in planned.columns:
+        out["paragraphs"] = replace_paragraphs(out["paragraphs"], write)
+    return out, report
+
+
+def replace_paragraphs(paragraphs: DataFrame, write: DataFrame) -> DataFrame:
+    """paragraphs, those of write's documents (event_id, paragraphs) replaced."""
+    item = write.schema["paragraphs"].dataType.elementType
+    x = write.select("event_id", F.posexplode("paragraphs").alias("_i", "_p"))
+    fields = {f.name for f in item.fields} if hasattr(item, "fields") else set()
+    value = {"event_id": F.col("event_id"), "sequence_number": F.col("_i") + 1, "content": F.col("_p.content") if fields else F.col("_p")}
+    new = x.select(*[(value.get(f.name, F.col(f"_p.{f.name}") if f.name in fields else F.lit(None))).cast(f.dataType).alias(f.name) for f in paragraphs.schema.fields])
+    return paragraphs.join(write.select("event_id").distinct(), "event_id", "left_anti").select(*paragraphs.columns).unionByName(new)
+
+
+def ingest_best_effort(tables: dict[str, DataFrame], batch: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables, report) of documents (title, language, ..., paragraphs) that are added or replaced one
+    by one: those without title or paragraphs are left out and reported (title, language, error); of
+    several with the same canonical title and language the last by title wins."""
+    error = F.when(F.coalesce(F.trim("title"), F.lit("")) == "", "missing title").when(F.coalesce(F.size("paragraphs"), F.lit(0)) <= 0, "no body")
+    x = resolve(tables["events"], batch.withColumn("error", error)).withColumn("event_id", F.coalesce(F.col("event_id"), new_id(F.col("title"), F.col("language"))))
+    w = W.partitionBy(F.col("error").isNull(), "event_id").orderBy(F.desc("title"))
+    x = x.withColumn("_n", F.row_number().over(w))
+    x = x.withColumn("error", F.coalesce("error", F.when(F.col("_n") > 1, "replaced by a later one"))).drop("_n")
+    good = x.where(F.col("error").isNull()).withColumn("action", F.lit("modify"))
+    out, _ = apply_documents(tables, good)
+    return out, x.select("title", "language", "error")
 
 
 def patch(events: DataFrame, event_id, fields: dict) -> DataFrame:
@@ -72,8 +116,11 @@ def impute_locations(events: DataFrame, prefixes: tuple[tuple[str, str], ...], b
     x = events.withColumns({"_s": series(F.col("title")), "_y": year(F.col("date"))})
     seen = x.where(F.col("location").isNotNull() & (F.col("location") != "")).groupBy("_s", "location").agg(F.count("*").alias("n"))
     usual = seen.groupBy("_s").agg(F.min(F.struct((-F.col("n")).alias("m"), "location"))["location"].alias("_p1"))
-    years = x.where(F.col("_y").isNotNull()).groupBy("_s").agg(F.array_sort(F.collect_list("_y")).alias("ys"))
-    median = years.select("_s", F.get("ys", F.floor(F.size("ys") / 2).cast("int")).alias("_m"))
+    # The median from counts per year: no series' rows meet in a list.
+    years = x.where(F.col("_y").isNotNull()).groupBy("_s", "_y").agg(F.count("*").alias("n"))
+    w = W.partitionBy("_s").orderBy("_y")
+    years = years.withColumns({"below": F.sum("n").over(w), "all": F.sum("n").over(W.partitionBy("_s"))})
+    median = years.where(F.col("below") > F.floor(F.col("all") / 2)).groupBy("_s").agg(F.min("_y").alias("_m"))
     rule = F.lit(None).cast("string")
     for start, place in reversed(prefixes):
         rule = F.when(F.col("_s").startswith(start), place).otherwise(rule)

@@ -1,13 +1,18 @@
 """The query language: a pure parser from a string to a SearchQuery.
 
 Record level (whole documents): several words, AND of OR-groups, NEAR(words, n). Paragraph level:
-everything else - a single word, phrases, OR, NOT, prefixes, `title:`.
+everything else - a single word, phrases (also as `a + b`), OR, NOT, prefixes, `^first`, columns
+(`title:`, `{content title}:`), and NEAR(words) without a distance, ten words inside a paragraph.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+import unicodedata
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
+
+from folia.functions.text import token_words
 
 # Function words that a distance query leaves out.
 NEAR_STOPWORDS = frozenset(
@@ -33,6 +38,7 @@ class Term:
     words: tuple[str, ...]
     prefix: bool = False
     field: str = "content"
+    first: bool = False  # stands at the column's beginning
 
 
 @dataclass(frozen=True)
@@ -54,16 +60,17 @@ class SearchQuery:
     terms: tuple[Term, ...] = field(default=())
 
 
-def _split(text: str) -> tuple[str, ...]:
-    return tuple(re.findall(r"[^\W_]+(?:[ऀ-ॣ०-ॿ]+[^\W_]*)*|[ऀ-ॣ०-ॿ]+", text.lower()))
+LONGEST, NATIVE_DISTANCE = 500, 10
+_COLUMNS = {"content": "content", "title": "title", "title_search": "title"}
 
 
-def _term(raw: str, where: str) -> Term:
+def _term(raw: str, where: str = "content", bare: bool = True) -> Term:
+    first = bare and raw.startswith("^")
     prefix = raw.endswith("*")
-    words = _split(raw.strip('"*'))
+    words = token_words(raw.strip('"*^'))
     if not words:
         raise QuerySyntaxError(f"nothing to search for in {raw!r}")
-    return Term(words, prefix, where)
+    return Term(words, prefix, where, first)
 
 
 def _clean(text: str) -> str:
@@ -77,20 +84,40 @@ def _clean(text: str) -> str:
     return "".join(out).strip()
 
 
-def parse(text: str) -> SearchQuery:
+def parse(text: str, analyse: Callable[[str], str] | None = None) -> SearchQuery:
+    """analyse: the form of a word in the index that is searched; as it is if None."""
+    if len(text or "") > LONGEST:
+        raise QuerySyntaxError(f"a query has at most {LONGEST} characters")
+    found = _parse(text)
+    return _mapped(found, lambda t: replace(t, words=tuple(map(analyse, t.words)))) if analyse else found
+
+
+def _mapped(q: SearchQuery, f: Callable[[Term], Term]) -> SearchQuery:
+    node = lambda n: Node(n.op, tuple(map(node, n.parts)), f(n.term) if n.term else None)
+    return replace(q, groups=tuple(tuple(map(f, g)) for g in q.groups), tree=node(q.tree) if q.tree else None, terms=tuple(map(f, q.terms)))
+
+
+def _near(text: str) -> SearchQuery | None:
+    m = re.match(r"(?is)^NEAR\s*\(\s*([^(),]+?)\s*(?:,\s*(\d+)\s*)?\)\s*$", text)
+    if not m:
+        return None
+    words = [w for w in m[1].replace('"', " ").split() if w != "AND"]
+    content = [w for w in words if unicodedata.normalize("NFC", w.lower()) not in NEAR_STOPWORDS]
+    words = content if len(content) >= 2 else words
+    if len(words) < 2:
+        return _parse(" ".join(words))
+    groups = tuple((_term(w),) for w in words)
+    return SearchQuery("near" if m[2] else "paragraph_near", groups, int(m[2] or NATIVE_DISTANCE), terms=tuple(t for g in groups for t in g))
+
+
+def _parse(text: str) -> SearchQuery:
     text = _clean(text or "")
     if not text:
         raise QuerySyntaxError("empty query")
     if text.count('"') % 2:
         raise QuerySyntaxError("unclosed quotation mark")
-    if m := re.match(r"(?is)^NEAR\s*\(\s*(.+?)\s*,\s*(\d+)\s*\)\s*$", text):
-        words = [w for w in m[1].replace('"', " ").split() if w != "AND"]
-        content = [w for w in words if w.lower() not in NEAR_STOPWORDS]
-        words = content if len(content) >= 2 else words
-        if len(words) >= 2:
-            groups = tuple((_term(w, "content"),) for w in words)
-            return SearchQuery("near", groups, int(m[2]), terms=tuple(t for g in groups for t in g))
-        text = " ".join(words)
+    if near := _near(text):
+        return near
     groups = _units(text)
     if groups:
         return SearchQuery("record", groups, terms=tuple(t for g in groups for t in g))
@@ -107,7 +134,7 @@ def _terms(n: Node):
 
 def _units(text: str) -> tuple[tuple[Term, ...], ...] | None:
     """OR-groups that must all occur in a document; None where the paragraph level is meant."""
-    if '"' in text or re.search(r"(?i)\btitle\s*:", text):
+    if '"' in text or re.search(r"[:+^{]", text):
         return None
     if re.search(r"\bAND\b", text):
         parts = [p.strip() for p in re.split(r"\bAND\b", text)]
@@ -119,19 +146,21 @@ def _units(text: str) -> tuple[tuple[Term, ...], ...] | None:
             words = [w.strip() for w in re.split(r"\bOR\b", inner)]
             if not all(words) or any(" " in w for w in words):
                 return None
-            groups.append(tuple(_term(w, "content") for w in words))
+            groups.append(tuple(_term(w) for w in words))
         return tuple(groups) if len(groups) > 1 else None
     if re.search(r"[()]|\b(OR|NOT|NEAR)\b", text):
         return None
     words = text.split()
-    return tuple((_term(w, "content"),) for w in words) if len(words) > 1 else None
+    return tuple((_term(w),) for w in words) if len(words) > 1 else None
 
 
 class _Parser:
     """NOT binds tighter than AND (also unwritten), AND tighter than OR; operators in capitals."""
 
     def __init__(self, text: str):
-        self.items = _TOKEN.findall(re.sub(r"(?i)\btitle\s*:\s*", "title:", text))
+        text = re.sub(r"\{([^}]*)\}\s*:\s*", lambda m: "|".join(m[1].split()) + ":", text)
+        text = re.sub(r"(?i)(?<![\w|])([a-z_]+(?:\|[a-z_]+)*)\s*:\s*(?=\S)", lambda m: f" {m[1].lower()}: ", text)
+        self.items = _TOKEN.findall(re.sub(r"\s*\+\s*(?=([^\"]*\"[^\"]*\")*[^\"]*$)", " + ", text))
         self.at = 0
 
     def tree(self) -> Node:
@@ -169,19 +198,33 @@ class _Parser:
 
     def _atom(self) -> Node:
         p = self._peek()
-        if p is None or p in (")", "AND", "OR", "NOT"):
+        if p is None or p in (")", "AND", "OR", "NOT", "+"):
             raise QuerySyntaxError("a word is missing")
         self.at += 1
+        if p.endswith(":") and p != ":" and not p.startswith('"'):
+            columns = p[:-1].split("|")
+            if not set(columns) <= set(_COLUMNS):
+                raise QuerySyntaxError(f"no such column in {p!r}")
+            return self._in_columns(self._atom(), sorted({_COLUMNS[c] for c in columns}))
         if p == "(":
             inner = self._or()
             if self._peek() != ")":
                 raise QuerySyntaxError("unclosed bracket")
             self.at += 1
             return inner
-        where = "content"
-        if p.startswith("title:"):
-            where, p = "title", p[6:]
-            if not p and self._peek():
-                p = self.items[self.at]
-                self.at += 1
-        return Node("term", term=_term(p, where))
+        term = _term(p, bare=not p.startswith('"'))
+        while self._peek() == "+":
+            self.at += 1
+            more = self._peek()
+            if more is None or more in (")", "AND", "OR", "NOT", "+"):
+                raise QuerySyntaxError("a word is missing after +")
+            self.at += 1
+            next_ = _term(more)
+            term = replace(term, words=term.words + next_.words, prefix=next_.prefix)
+        return Node("term", term=term)
+
+    def _in_columns(self, node: Node, columns: list[str]) -> Node:
+        if node.op != "term":
+            return Node(node.op, tuple(self._in_columns(p, columns) for p in node.parts))
+        parts = tuple(Node("term", term=replace(node.term, field=c)) for c in columns)
+        return parts[0] if len(parts) == 1 else Node("or", parts)

@@ -1,16 +1,23 @@
-"""All archive queries by name, with equivalent SQL."""
+"""All archive queries by name, with equivalent SQL.
+
+Searches read an index that is written once per application and corpus, as an archive's would be."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from folia.archive import Archive
 from folia.functions import text as tx
 from folia.operators import diff as df_
 from folia.operators import facets, index, search, writer
 from folia.plans.query import parse
+from folia.shipping import shared_dir
 from folia.sources import readers
+from folia.streaming import incremental
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -24,7 +31,7 @@ PARA = r"""
 para AS (SELECT doc_id, i - 1 AS seq, p[i] AS content FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM
   (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents))),
 tok AS (SELECT doc_id, seq, content, seq = 0 OR starts_with(lower(content), 'event page') AS meta,
-  regexp_extract_all(lower(content), '[\p{L}\p{N}\p{Co}\p{Mn}\p{Mc}]+') AS w FROM para)"""
+  regexp_extract_all(strip_accents(lower(content)), '[\p{L}\p{N}\p{Co}\p{Mn}\p{Mc}]+') AS w FROM para)"""
 WORDS = """,
 base AS (SELECT doc_id, seq, meta, w, coalesce(sum(len(w)) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM tok),
 word AS (SELECT doc_id, seq, meta, b + i - 1 AS rp, i - 1 AS pos, w[i] AS t FROM (SELECT doc_id, seq, meta, b, w, unnest(range(1, len(w) + 1)) AS i FROM base))"""
@@ -53,6 +60,43 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.chunk_lines(read(spark, sf_dir, "documents"))
 
 
+def parts_as_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(paragraphs, events): parts under their names, with their types as text."""
+    part = read(spark, sf_dir, "part")
+    key = F.col("p_partkey").alias("event_id")
+    return part.select(key, F.lit(1).alias("sequence_number"), F.col("p_type").alias("content")), part.select(key, F.col("p_name").alias("title"))
+
+
+_indexes: dict[tuple[str, ...], index.Index] = {}
+
+
+def corpus(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, DataFrame | None]:
+    if name == "parts":
+        return parts_as_documents(spark, sf_dir)
+    return (turns(spark, sf_dir), None) if name == "conversations" else (paragraphs(spark, sf_dir), None)
+
+
+def index_of(spark: SparkSession, sf_dir: str, name: str = "documents") -> index.Index:
+    """The corpus' index, written at its first use in this application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _indexes:
+        path = f"{shared_dir(spark)}/folia-index/{key[0]}/{name}-{uuid.uuid4().hex}"
+        index.write_index(*corpus(spark, sf_dir, name), path)
+        _indexes[key] = index.read_index(spark, path)
+    return _indexes[key]
+
+
+def look_up(spark: SparkSession, sf_dir: str, q: str, exact: bool = True, name: str = "documents"):
+    """(index, query, the places of its terms)."""
+    i, query = index_of(spark, sf_dir, name), parse(q, None if exact else tx.analysed_word)
+    return i, query, search.occurrences(i, query.terms, exact)
+
+
+def hits_of(spark: SparkSession, sf_dir: str, q: str, exact: bool = True, name: str = "documents") -> DataFrame:
+    i, query, occ = look_up(spark, sf_dir, q, exact, name)
+    return search.paragraph_hits(i, occ, query)
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as documents: turns are paragraphs that carry a role."""
     c = read(spark, sf_dir, "conversations")
@@ -91,15 +135,14 @@ ORDER_TAGS = "tags_ AS (SELECT DISTINCT l_orderkey AS event_id, l_returnflag ||
 g AS (SELECT doc_id, count(*) AS n FROM f WHERE a OR b GROUP BY doc_id HAVING bool_or(a) AND bool_or(b))
 SELECT doc_id AS event_id, n AS hit_count, round(-ln(1 + n), 6) AS rank FROM g ORDER BY n DESC, doc_id LIMIT 200""")
 def search_all_words_exact(spark, sf_dir):
-    found = search.all_words(paragraphs(spark, sf_dir), parse("that in"))
-    return search.top(found).withColumn("rank", F.round("rank", 6))
+    _, query, occ = look_up(spark, sf_dir, "that in")
+    return search.top(search.all_words(occ, query)).withColumn("rank", F.round("rank", 6))
 
 
 @query(f"""WITH {PARA}, f AS (SELECT doc_id, list_contains(w, 'that') OR list_contains(w, 'le') AS a, list_contains(w, 'in') OR list_contains(w, 'la') AS b FROM tok WHERE NOT meta)
 SELECT count(*) AS total, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_hits FROM (SELECT doc_id, count(*) AS n FROM f WHERE a OR b GROUP BY doc_id HAVING bool_or(a) AND bool_or(b))""")
 def search_or_groups_totals(spark, sf_dir):
-    found = search.all_words(paragraphs(spark, sf_dir), parse("(that OR le) AND (in OR la)"))
-    return found.agg(F.count("*").alias("total"), F.coalesce(F.sum("hit_count"), F.lit(0)).alias("total_hits"))
+    return search.find(index_of(spark, sf_dir), "(that OR le) AND (in OR la)", exact=True).totals
 
 
 NEAR = """, hit AS (SELECT doc_id, {key} rp, max(CASE WHEN t = 'that' THEN rp END) AS u0, max(CASE WHEN t = 'with' THEN rp END) AS u1, max(CASE WHEN t = 'and' THEN rp END) AS u2
@@ -111,27 +154,27 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id{part} ORDER BY span, lo)
 
 @query(f"WITH {PARA}{WORDS}{NEAR.format(key='', part='')} SELECT doc_id AS event_id, CAST(span AS BIGINT) AS span, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM r WHERE n = 1 AND span <= 10")
 def search_near_exact(spark, sf_dir):
-    return search.within(paragraphs(spark, sf_dir), parse("NEAR(that with and, 10)")).select("event_id", "span", "lo", "hi")
+    _, query, occ = look_up(spark, sf_dir, "NEAR(that with and, 10)")
+    return search.within(occ, query).select("event_id", "span", "lo", "hi")
 
 
 @query(f"""WITH {PARA}{WORDS.replace('b + i - 1 AS rp', 'i - 1 AS rp')}{NEAR.format(key='seq,', part=', seq')}
 SELECT doc_id AS event_id, seq AS sequence_number, CAST(span AS BIGINT) AS span FROM r WHERE n = 1 AND span <= 11""")
 def search_near_paragraph(spark, sf_dir):
-    found = search.within(paragraphs(spark, sf_dir), parse("NEAR(that with and, 10)"), paragraph_level=True)
-    return found.select("event_id", F.col("sequence_number").cast("bigint").alias("sequence_number"), "span")
+    _, query, occ = look_up(spark, sf_dir, "NEAR(that with and)")
+    return search.within(occ, query).select("event_id", F.col("sequence_number").cast("bigint").alias("sequence_number"), "span")
 
 
 @query(f"""WITH {PARA}, h AS (SELECT doc_id, seq FROM tok WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' of the '))
 SELECT count(DISTINCT doc_id) AS total, count(*) AS total_hits FROM h""")
 def search_phrase_totals(spark, sf_dir):
-    return search.totals(search.paragraph_hits(paragraphs(spark, sf_dir), parse('"of the"')))
+    return search.totals(hits_of(spark, sf_dir, '"of the"'))
 
 
 @query(f"""WITH {PARA} SELECT doc_id AS event_id, CAST(seq AS INTEGER) AS sequence_number FROM tok
 WHERE (len(list_filter(w, lambda x: starts_with(x, 'than'))) > 0 OR (list_contains(w, 'le') AND list_contains(w, 'la'))) AND NOT list_contains(w, 'zzz') AND NOT (list_contains(w, 'was'))""")
 def search_prefix_or_not(spark, sf_dir):
-    hits = search.paragraph_hits(paragraphs(spark, sf_dir), parse("((than* OR (le AND la)) NOT zzz) NOT was"))
-    return hits.select("event_id", "sequence_number")
+    return hits_of(spark, sf_dir, "((than* OR (le AND la)) NOT zzz) NOT was").select("event_id", "sequence_number")
 
 
 @query(f"""WITH {PARA}, l AS (SELECT doc_id, seq, len(w) AS len, len(list_filter(w, lambda x: x = 'worthless')) AS f0, len(list_filter(w, lambda x: starts_with(x, 'pathetic'))) AS f1 FROM tok),
@@ -140,68 +183,64 @@ x AS (SELECT doc_id, seq, round(-(greatest(ln((n - n0 + 0.5) / (n0 + 0.5)), 1e-6
   FROM l, s WHERE f0 > 0 OR f1 > 0)
 SELECT doc_id AS event_id, CAST(seq AS INTEGER) AS sequence_number, score FROM x ORDER BY score, doc_id, seq LIMIT 100""")
 def search_bm25_topk(spark, sf_dir):
-    scored = search.bm25(paragraphs(spark, sf_dir), parse("worthless OR pathetic*")).withColumn("score", F.round("score", 6))
-    return scored.orderBy("score", "event_id", "sequence_number").limit(100)
+    i, query, occ = look_up(spark, sf_dir, "worthless OR pathetic*")
+    scored = search.bm25(i, occ, query, search.paragraph_hits(i, occ, query)).withColumn("score", F.round("score", 6))
+    return scored.select("event_id", "sequence_number", "score").orderBy("score", "event_id", "sequence_number").limit(100)
 
 
 @query(f"""WITH {PARA}, h AS (SELECT doc_id, seq FROM tok WHERE list_contains(w, 'worthless')), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS rn, count(*) OVER (PARTITION BY doc_id) AS hit_count FROM h)
 SELECT doc_id AS event_id, CAST(seq AS INTEGER) AS sequence_number, CAST(rn AS INTEGER) AS rn, hit_count FROM r WHERE rn <= 3""")
 def search_first_hits(spark, sf_dir):
-    found = search.first_hits(search.paragraph_hits(paragraphs(spark, sf_dir), parse("worthless")))
-    return found.select("event_id", "sequence_number", "rn", "hit_count")
+    return search.first_hits(hits_of(spark, sf_dir, "worthless")).select("event_id", "sequence_number", "rn", "hit_count")
 
 
 @query("""WITH h AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations
   WHERE turn <> 0 AND role = 'assistant' AND list_contains(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}\\p{Co}\\p{Mn}\\p{Mc}]+'), 'the'))
 SELECT conv_id AS event_id, CAST(turn AS INTEGER) AS sequence_number, role, CAST(rn AS INTEGER) AS rn FROM h WHERE rn <= 3""")
 def search_role_filter(spark, sf_dir):
-    hits = search.paragraph_hits(turns(spark, sf_dir), parse("the")).where((F.col("role") == "assistant") & (F.col("sequence_number") != 0))
+    i = index_of(spark, sf_dir, "conversations")
+    spoken = i.paragraphs.where((F.col("role") == "assistant") & (F.col("sequence_number") != 0)).select("event_id", "sequence_number", "role")
+    hits = hits_of(spark, sf_dir, "the", name="conversations").join(spoken, ["event_id", "sequence_number"])
     return search.first_hits(hits).select("event_id", "sequence_number", "role", "rn")
 
 
 @query(f"""WITH {PARA}, d AS (SELECT doc_id FROM documents WHERE lower(lang) IN ('english', 'en')), f AS (SELECT doc_id, list_contains(w, 'that') AS a, list_contains(w, 'in') AS b FROM tok WHERE NOT meta AND doc_id IN (SELECT doc_id FROM d))
 SELECT doc_id AS event_id, count(*) AS hit_count FROM f WHERE a OR b GROUP BY doc_id HAVING bool_or(a) AND bool_or(b)""")
 def search_language_filter(spark, sf_dir):
-    asked = read(spark, sf_dir, "documents").where(tx.language_is(F.col("lang"), "English"))
-    return search.all_words(index.chunk_lines(asked), parse("that in")).select("event_id", "hit_count")
+    asked = read(spark, sf_dir, "documents").where(tx.language_is(F.col("lang"), "English")).select(F.col("doc_id").alias("event_id"))
+    return search.find(index_of(spark, sf_dir), "that in", asked, exact=True).ranked.select("event_id", "hit_count")
 
 
 @query(f"""WITH {PARA} SELECT doc_id AS event_id, CAST(seq AS INTEGER) AS sequence_number,
 regexp_replace(content, '(^|[^\\p{{L}}\\p{{N}}\\p{{Co}}\\p{{Mn}}\\p{{Mc}}])((?i:worthless))($|[^\\p{{L}}\\p{{N}}\\p{{Co}}\\p{{Mn}}\\p{{Mc}}])', '\\1«\\2»\\3', 'g') AS hl FROM tok WHERE list_contains(w, 'worthless')""")
 def search_highlight(spark, sf_dir):
-    q = parse("worthless")
-    hits = search.paragraph_hits(paragraphs(spark, sf_dir), q)
-    return hits.select("event_id", "sequence_number", search.highlight(F.col("content"), q.terms).alias("hl"))
+    i, query, occ = look_up(spark, sf_dir, "worthless")
+    x = i.paragraphs.join(search.marks(occ), ["event_id", "sequence_number"])
+    return x.select("event_id", "sequence_number", search.highlight(F.col("content"), F.col("starts"), F.col("ends")).alias("hl"))
 
 
-@query("""WITH t AS (SELECT p_partkey, p_name, p_type, regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}\\p{Co}\\p{Mn}\\p{Mc}]+') AS a, regexp_extract_all(lower(p_type), '[\\p{L}\\p{N}\\p{Co}\\p{Mn}\\p{Mc}]+') AS b FROM part),
-w AS (SELECT a[1] AS x FROM t ORDER BY p_partkey LIMIT 1)
-SELECT p_partkey AS event_id, p_name AS title FROM t WHERE list_contains(a, (SELECT x FROM w)) AND NOT list_contains(b, (SELECT x FROM w))""")
+@query("""WITH t AS (SELECT p_partkey, p_name, regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+') AS a, regexp_extract_all(lower(p_type), '[\\p{L}\\p{N}]+') AS b FROM part)
+SELECT p_partkey AS event_id, p_name AS title FROM t WHERE list_contains(a, 'brass') AND NOT list_contains(b, 'brass')""")
 def title_union_antijoin(spark, sf_dir):
-    part = read(spark, sf_dir, "part")
-    titles = part.select(F.col("p_partkey").alias("event_id"), F.col("p_name").alias("title"))
-    body = part.select(F.col("p_partkey").alias("event_id"), F.lit(1).alias("sequence_number"), F.col("p_type").alias("content"))
-    # The first word of the first title; one row.
-    word = titles.orderBy("event_id").limit(1).select(tx.tokens(F.col("title"))[0].alias("w")).first()["w"]
-    q = parse(f'"{word}"')
-    return search.title_only(titles, q, search.paragraph_hits(body, q))
+    i, query, occ = look_up(spark, sf_dir, '"brass"', name="parts")
+    found = search.title_only(i, query, search.paragraph_hits(i, occ, query), exact=True)
+    return found.join(parts_as_documents(spark, sf_dir)[1], "event_id")
 
 
 @query(f"""WITH {PARA}{WORDS} SELECT t AS term, count(DISTINCT doc_id * 1000000 + seq) AS df, count(*) AS cf FROM word GROUP BY t""")
 def index_vocabulary(spark, sf_dir):
-    return index.vocabulary(index.postings(paragraphs(spark, sf_dir)))
+    return index.vocabulary(index_of(spark, sf_dir).rows.where(F.col("analyzer") == "exact"))
 
 
 @query(f"""WITH {PARA}{WORDS} SELECT doc_id AS event_id, CAST(seq AS INTEGER) AS sequence_number, CAST(pos AS INTEGER) AS pos, CAST(rp AS BIGINT) AS rp FROM word WHERE t = 'worthless'""")
 def index_postings_scan(spark, sf_dir):
-    rows = index.postings(paragraphs(spark, sf_dir)).where(F.col("term") == "worthless")
-    return rows.select("event_id", "sequence_number", "pos", F.col("rp").cast("bigint").alias("rp"))
+    rows = index_of(spark, sf_dir).find({"worthless"}, set(), "exact")
+    return rows.select("event_id", "sequence_number", "pos", "rp")
 
 
 @query()
 def index_stemmed_vocabulary(spark, sf_dir):
-    rows = index.postings(paragraphs(spark, sf_dir))
-    return index.vocabulary(index.postings(paragraphs(spark, sf_dir), "stemmed", tx.stemmed(rows.select("term"))))
+    return index.vocabulary(index_of(spark, sf_dir).rows.where(F.col("analyzer") == "stemmed"))
 
 
 # ---- sources and text -----------------------------------------------------------------------
@@ -225,16 +264,15 @@ def header_parse(spark, sf_dir):
     return readers.parse_pages(read(spark, sf_dir, "pages")).select("page_id", "title", "language")
 
 
-@query("""SELECT doc_id, lower(trim(regexp_replace(regexp_replace(nfc_normalize(substr(text, 1, 60)), '[~∼～⁓‐‑‒–—―−-]', '~', 'g'), '\\s+', ' ', 'g'))) AS k FROM documents""")
+@query("""SELECT doc_id, lower(trim(regexp_replace(regexp_replace(nfc_normalize(text), '[~∼～⁓‐‑‒–—―−-]', '~', 'g'), '\\s+', ' ', 'g'))) AS k FROM documents""")
 def canonical_titles(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", tx.canonical_title(F.substring("text", 1, 60)).alias("k"))
+    return d.select("doc_id", tx.canonical_title(F.col("text")).alias("k"))
 
 
-@query("SELECT doc_id, strip_accents(substr(text, 1, 200)) AS folded FROM documents WHERE lang IN ('fr', 'es')")
+@query("SELECT doc_id, strip_accents(text) AS folded FROM documents")
 def fold_accents(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where(F.col("lang").isin("fr", "es"))
-    return d.select("doc_id", tx.fold_latin(F.substring("text", 1, 200)).alias("folded"))
+    return read(spark, sf_dir, "documents").select("doc_id", tx.fold_latin(F.col("text")).alias("folded"))
 
 
 # ---- filters, facets, catalog ---------------------------------------------------------------
@@ -266,9 +304,47 @@ def date_range(spark, sf_dir):
     return facets.date_range(events(spark, sf_dir))
 
 
-@query(f"""WITH {EVENTS} SELECT coalesce(substr(date, 1, 4), 'Undated') AS year, split_part(title, ' ~ ', 1) AS series, array_to_string(list_sort(list(title)), '|') AS titles FROM events_ GROUP BY 1, 2""")
+@query(f"""WITH {EVENTS} SELECT coalesce(substr(date, 1, 4), 'Undated') AS year, split_part(title, ' ~ ', 1) AS series, title, event_id FROM events_""")
 def hierarchy(spark, sf_dir):
-    return facets.hierarchy(events(spark, sf_dir)).select("year", "series", F.array_join("titles", "|").alias("titles"))
+    return facets.hierarchy(events(spark, sf_dir))
+
+
+@query(f"WITH {EVENTS} SELECT coalesce(substr(date, 1, 4), 'Undated') AS cluster, count(*) AS cnt FROM events_ GROUP BY 1")
+def facet_years(spark, sf_dir):
+    return facets.facet(events(spark, sf_dir), F.substring("date", 1, 4), "Undated", by_value=True)
+
+
+@query(f"WITH {EVENTS} SELECT event_id FROM events_ WHERE substr(date, 1, 4) = '1995' AND language = 'O' AND contains(lower(title), 'urgent')")
+def facet_filters(spark, sf_dir):
+    a = Archive(events(spark, sf_dir), paragraphs(spark, sf_dir))
+    return a.browse("1995", None, "O", THEMES, "Urgent").select("event_id")
+
+
+@query(f"""WITH {EVENTS} SELECT event_id, CASE WHEN date IS NULL THEN NULL WHEN date LIKE '%-01-01' THEN substr(date, 1, 4) ELSE date END AS shown,
+  CAST(CAST(substr(date, 9, 2) AS INTEGER) AS VARCHAR) || ' ' || ['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December'][CAST(substr(date, 6, 2) AS INTEGER)] || ' ' || substr(date, 1, 4) AS readable FROM events_""")
+def dates_for_display(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", tx.display_date(F.col("date")).alias("shown"), tx.readable_date(F.col("date")).alias("readable"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN role IN ('user', 'assistant') THEN role || '_said' END AS slug FROM conversations""")
+def role_slugs(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    style = F.when(F.col("role").isin("user", "assistant"), F.concat(F.lit("Style -  "), F.upper("role"), F.lit(" (Said) (English)"))).otherwise(F.col("role"))
+    return c.select("conv_id", "turn", tx.role_slug(style).alias("slug"))
+
+
+@query(f"""WITH {EVENTS}, b AS (SELECT event_id, title, CASE WHEN event_id % 3 = 0 THEN title WHEN event_id % 3 = 1 THEN 'Other ~ 1' ELSE 'no title line' END AS line FROM events_)
+SELECT event_id, event_id % 3 = 1 AS differs FROM b""")
+def title_mismatches(spark, sf_dir):
+    k = F.col("event_id") % 3
+    line = F.when(k == 0, F.upper("title")).when(k == 1, "Other ~ 1").otherwise("no title line")
+    return events(spark, sf_dir).select("event_id", tx.title_mismatch(F.col("title"), line).alias("differs"))
+
+
+@query(f"""WITH {EVENTS} SELECT event_id, language = 'O' AS original FROM events_ WHERE language IN ('O', 'F')""")
+def original_filter(spark, sf_dir):
+    x = events(spark, sf_dir).withColumn("translated_from", F.when(F.col("language") == "F", "Hindi").when(F.col("event_id") % 2 == 0, "None"))
+    return x.where(F.col("language").isin("O", "F")).select("event_id", tx.is_original(F.col("translated_from")).alias("original"))
 
 
 ERA = "CASE WHEN {y} IS NULL THEN 'Unknown' WHEN {y} < 1993 THEN 'early' WHEN {y} < 1996 THEN 'middle' WHEN {y} < 1998 THEN 'late' ELSE 'last' END"
@@ -329,10 +405,10 @@ def weighted_tags(spark, sf_dir):
     return facets.weighted_tags(_rollup(spark, sf_dir))
 
 
-@query(f"""WITH {EVENTS} SELECT split_part(title, ' ~ ', 1) AS series, min(coalesce(date, '')) AS first_date, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY coalesce(date, ''), event_id) AS talks FROM events_ GROUP BY 1""")
+@query(f"""WITH {EVENTS}, x AS (SELECT split_part(title, ' ~ ', 1) AS series, coalesce(date, '') AS d, event_id FROM events_)
+SELECT series, min(d) OVER (PARTITION BY series) AS first_date, CAST(row_number() OVER (PARTITION BY series ORDER BY d, event_id) AS INTEGER) AS n, event_id FROM x""")
 def talks_in_series(spark, sf_dir):
-    x = facets.talks_in_series(events(spark, sf_dir))
-    return x.select("series", "first_date", F.array_join(F.transform("talks", lambda t: t.cast("string")), ",").alias("talks"))
+    return facets.talks_in_series(events(spark, sf_dir))
 
 
 @query(f"""WITH {EVENTS} SELECT count(*) AS n, count(*) FILTER (location IS NULL) AS no_location, count(*) FILTER (date IS NULL) AS no_date,
@@ -404,11 +480,50 @@ def body_hashes(spark, sf_dir):
     return df_.bodies(paragraphs(spark, sf_dir)).select(F.col("event_id").alias("doc_id"), "body")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'replaced' ELSE source END AS source FROM documents WHERE doc_id % 5 <> 1 UNION ALL SELECT doc_id + 100000000, 'added' FROM documents WHERE doc_id % 100 = 0""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'replaced' ELSE source END AS source FROM documents WHERE doc_id % 5 <> 1 UNION ALL SELECT -1 - doc_id, 'added' FROM documents WHERE doc_id % 100 = 0""")
 def upsert_merge(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", "source")
-    batch = d.where("doc_id % 7 = 0").withColumn("source", F.lit("replaced")).unionByName(d.where("doc_id % 100 = 0").select((F.col("doc_id") + 100000000).alias("doc_id"), F.lit("added").alias("source")))
-    return writer.delete(writer.upsert(d, batch, "doc_id"), d.where("doc_id % 5 = 1"), "doc_id").where("doc_id < 100000000").unionByName(batch.where("doc_id >= 100000000"))
+    batch = d.where("doc_id % 7 = 0").withColumn("source", F.lit("replaced")).unionByName(d.where("doc_id % 100 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), F.lit("added").alias("source")))
+    return writer.delete(writer.upsert(d, batch, "doc_id"), d.where("doc_id % 5 = 1"), "doc_id")
+
+
+def _whole_batch(spark, sf_dir):
+    """Documents as events, paragraphs and tags; a batch that deletes, replaces and adds some."""
+    d = read(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    named = d.select(k.cast("string").alias("event_id"), F.concat(F.lit("doc – "), k.cast("string")).alias("title"), F.lit("English").alias("language"), "doc_id", "text")
+    tables = {
+        "events": named.select("event_id", "title", "language"),
+        "paragraphs": index.chunk_lines(named, "event_id"),
+        "tags": named.select("event_id", F.lit("kept").alias("tag")),
+    }
+    asked = named.where("doc_id % 4 < 3").select(
+        F.expr("CASE doc_id % 4 WHEN 0 THEN 'delete' WHEN 1 THEN 'modify' ELSE 'add' END").alias("action"),
+        F.when(k % 4 == 2, F.concat(F.lit("new "), k.cast("string"))).otherwise(F.concat(F.lit("Doc ~  "), k.cast("string"))).alias("title"),
+        F.lit("en").alias("language"), F.when(k % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("one"), F.col("text"))).alias("paragraphs"),
+    )
+    return writer.apply_documents(tables, writer.plan_batch(tables["events"], asked))[0]
+
+
+@query(f"""WITH {PARA}, n AS (SELECT doc_id, count(*) AS n FROM para GROUP BY doc_id)
+SELECT CASE WHEN k = 'new' THEN 'new ' ELSE 'doc – ' END || CAST(documents.doc_id AS VARCHAR) AS title, CASE WHEN k = 'new' THEN 0 ELSE 1 END AS tags, CASE WHEN k = 'new' OR documents.doc_id % 4 = 1 THEN 2 ELSE coalesce(n, 0) END AS paragraphs
+FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id, (VALUES ('old'), ('new')) AS v(k) WHERE CASE WHEN k = 'new' THEN documents.doc_id % 4 = 2 ELSE documents.doc_id % 4 <> 0 END""")
+def batch_whole_documents(spark, sf_dir):
+    t = _whole_batch(spark, sf_dir)
+    count = lambda name, c: t[name].groupBy("event_id").agg(F.count("*").alias(c))
+    x = t["events"].join(count("tags", "tags"), "event_id", "left").join(count("paragraphs", "paragraphs"), "event_id", "left")
+    return x.select("title", F.coalesce("tags", F.lit(0)).alias("tags"), F.coalesce("paragraphs", F.lit(0)).alias("paragraphs"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id = 7 THEN 'patched' ELSE source END AS source FROM documents""")
+def patch_one(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.col("source").alias("location"))
+    return writer.patch(d, 7, {"location": "patched"}).select(F.col("event_id").alias("doc_id"), F.col("location").alias("source"))
+
+
+@query(f"""WITH {TAGS} SELECT event_id, tag FROM tags_ WHERE event_id <> 7 UNION ALL VALUES (7, 'one'), (7, 'two')""")
+def tags_replaced(spark, sf_dir):
+    return writer.set_tags(tags(spark, sf_dir), 7, [" Two", "one ", "", "ONE"])
 
 
 @query("""WITH a AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'add' WHEN doc_id % 3 = 1 THEN 'modify' ELSE 'delete' END AS action, doc_id % 2 = 0 AS known FROM documents)
@@ -430,9 +545,9 @@ def canonical_languages(spark, sf_dir):
 @query("""SELECT conv_id AS event_id, turn AS sequence_number, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next
 FROM conversations WHERE list_contains(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}\\p{Co}\\p{Mn}\\p{Mc}]+'), 'of')""")
 def hit_navigation(spark, sf_dir):
-    hits = search.paragraph_hits(turns(spark, sf_dir), parse("of"))
     w = W.partitionBy("event_id").orderBy("sequence_number")
     n = F.col("sequence_number").cast("bigint")
+    hits = hits_of(spark, sf_dir, "of", name="conversations")
     return hits.select("event_id", n.alias("sequence_number"), F.lag(n).over(w).alias("previous"), F.lead(n).over(w).alias("next"))
 
 
@@ -441,14 +556,16 @@ s AS (SELECT count(*) AS n, avg(len) AS avgdl, sum(CASE WHEN f > 0 THEN 1 ELSE 0
 x AS (SELECT doc_id, -greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avgdl)) AS score FROM l, s WHERE f > 0)
 SELECT doc_id AS event_id, count(*) AS hit_count, round(min(score), 5) AS best, round(min(score) * greatest(ln(1 + count(*)), 1.0), 5) AS rank FROM x GROUP BY doc_id""")
 def search_boosted_documents(spark, sf_dir):
-    found = search.by_document(search.bm25(paragraphs(spark, sf_dir), parse("worthless")))
+    i, query, occ = look_up(spark, sf_dir, "worthless")
+    found = search.by_document(search.bm25(i, occ, query, search.paragraph_hits(i, occ, query)))
     return found.select("event_id", "hit_count", F.round("best", 5).alias("best"), F.round("rank", 5).alias("rank"))
 
 
 @query(f"""WITH {PARA}{WORDS}{NEAR.format(key='', part='')}, b AS (SELECT doc_id, lo, hi FROM r WHERE n = 1 AND span <= 10)
 SELECT DISTINCT word.doc_id AS event_id, CAST(seq AS INTEGER) AS sequence_number FROM word JOIN b ON word.doc_id = b.doc_id WHERE NOT meta AND t IN ('that', 'with', 'and') AND rp BETWEEN lo AND hi""")
 def search_near_window_paragraphs(spark, sf_dir):
-    return search.window_hits(paragraphs(spark, sf_dir), parse("NEAR(that with and, 10)"))
+    _, query, occ = look_up(spark, sf_dir, "NEAR(that with and, 10)")
+    return search.window_hits(occ, search.within(occ, query)).select("event_id", "sequence_number").distinct()
 
 
 @query(f"WITH {PARA} SELECT doc_id AS event_id, count(*) AS n FROM para GROUP BY doc_id")
@@ -472,11 +589,104 @@ def series_filter(spark, sf_dir):
 
 @query("""SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def windowed_event_counts(spark, sf_dir):
-    x = read(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return x.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+    return incremental.event_counts(read(spark, sf_dir, "events"))
 
 
 @query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, CASE WHEN url LIKE '%utm_source%' THEN 'feed' ELSE 'plain' END AS role FROM pages")
 def pages_scan(spark, sf_dir):
     p = read(spark, sf_dir, "pages")
     return p.select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("host"), F.when(F.col("url").like("%utm_source%"), "feed").otherwise("plain").alias("role"))
+
+
+def _archive(spark, sf_dir) -> Archive:
+    d = read(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    e = d.select(k.alias("event_id"), F.concat(F.lit("doc "), k.cast("string")).alias("title"), F.lit(None).cast("string").alias("date"), F.col("source").alias("location"), F.col("lang").alias("language"), F.lit(None).cast("string").alias("translated_from"))
+    return Archive(e, paragraphs(spark, sf_dir), index=index_of(spark, sf_dir))
+
+
+RESULTS = f"""WITH {PARA}, f AS (SELECT doc_id, seq, list_contains(w, 'that') AS a, list_contains(w, 'in') AS b FROM tok WHERE NOT meta AND doc_id IN (SELECT doc_id FROM documents WHERE lower(lang) IN ('english', 'en'))),
+h AS (SELECT doc_id, seq, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS rn FROM f WHERE a OR b),
+g AS (SELECT doc_id, count(*) AS n FROM f WHERE a OR b GROUP BY doc_id HAVING bool_or(a) AND bool_or(b)),
+t AS (SELECT count(*) AS total, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_hits FROM g),
+best AS (SELECT * FROM g ORDER BY n DESC, doc_id LIMIT 50)
+SELECT best.doc_id AS event_id, 'doc ' || CAST(best.doc_id AS VARCHAR) AS title, n AS hit_count, total, total_hits,
+  (SELECT string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) FROM h WHERE h.doc_id = best.doc_id AND rn <= CASE WHEN total > 500 THEN 1 ELSE 3 END) AS hits FROM best, t"""
+
+
+@query(RESULTS)
+def archive_search(spark, sf_dir):
+    x = _archive(spark, sf_dir).search("that in", limit=50, language="en", exact=True)
+    return x.select("event_id", "title", "hit_count", "total", "total_hits", F.array_join(F.transform("hits", lambda h: h["sequence_number"].cast("string")), ",").alias("hits"))
+
+
+@query(f"""WITH {PARA}, h AS (SELECT doc_id, seq, content, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS rn FROM tok WHERE NOT meta AND list_contains(w, 'that') OR NOT meta AND list_contains(w, 'in')),
+g AS (SELECT doc_id FROM tok WHERE NOT meta GROUP BY doc_id HAVING bool_or(list_contains(w, 'that')) AND bool_or(list_contains(w, 'in')))
+SELECT doc_id AS event_id, CAST(seq AS INTEGER) AS sequence_number, CAST(rn AS INTEGER) AS rn,
+  regexp_replace(regexp_replace(content, '(^|[^\\p{{L}}\\p{{N}}\\p{{Co}}\\p{{Mn}}\\p{{Mc}}])((?i:that|in))($|[^\\p{{L}}\\p{{N}}\\p{{Co}}\\p{{Mn}}\\p{{Mc}}])', '\\1«\\2»\\3', 'g'),
+    '(^|[^\\p{{L}}\\p{{N}}\\p{{Co}}\\p{{Mn}}\\p{{Mc}}«])((?i:that|in))($|[^\\p{{L}}\\p{{N}}\\p{{Co}}\\p{{Mn}}\\p{{Mc}}»])', '\\1«\\2»\\3', 'g') AS hl
+FROM h WHERE rn <= 3 AND doc_id IN (SELECT doc_id FROM g)""")
+def archive_hits(spark, sf_dir):
+    return _archive(spark, sf_dir).hits("that in", exact=True).select("event_id", "sequence_number", "rn", "hl")
+
+
+@query("""SELECT conv_id AS event_id, CAST(turn AS INTEGER) AS sequence_number FROM conversations WHERE list_contains(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}]+')[1:1], 'the')""")
+def search_first_word(spark, sf_dir):
+    return hits_of(spark, sf_dir, "^the", name="conversations").select("event_id", "sequence_number")
+
+
+@query("""SELECT p_partkey AS event_id FROM part WHERE list_contains(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+'), 'brass') OR list_contains(regexp_extract_all(lower(p_type), '[\\p{L}\\p{N}]+'), 'brass')""")
+def search_columns(spark, sf_dir):
+    return hits_of(spark, sf_dir, "{content title}: brass", name="parts").select("event_id")
+
+
+def _changes(a: str, b: str) -> str:
+    lines = lambda c: f"list_filter(list_transform(string_split({c}, chr(10)), lambda l: trim(l)), lambda l: l <> '')"
+    return f"""CASE WHEN len({lines(a)}) <> len({lines(b)}) THEN 'paragraphs ' || len({lines(a)}) || ' to ' || len({lines(b)})
+    WHEN {lines(a)} <> {lines(b)} THEN 'content changed' ELSE '' END"""
+
+
+@query(f"""WITH o AS (SELECT doc_id, doc_id % 10 AS m, lang, coalesce(text, '') AS t, source FROM documents),
+x AS (SELECT doc_id, 'doc ' || CAST(doc_id AS VARCHAR) AS title, lang, CASE m WHEN 3 THEN 'REMOVED' WHEN 4 THEN 'REMOVED' WHEN 5 THEN 'MODIFIED' ELSE 'UNCHANGED' END AS status,
+  CASE m WHEN 5 THEN 'location' WHEN 6 THEN {_changes('t', 'substr(t, 1, 100)')} ELSE '' END AS notes FROM o
+  UNION ALL SELECT doc_id, 'new ' || CAST(doc_id AS VARCHAR), lang, 'ADDED', '' FROM o WHERE m = 4)
+SELECT title, coalesce(trim(lang), '') AS language, CASE WHEN notes <> '' THEN 'MODIFIED' ELSE status END AS status, notes FROM x""")
+def snapshot_diff_notes(spark, sf_dir):
+    return df_.diff(*_snapshots(spark, sf_dir)).select("title", "language", "status", "notes")
+
+
+# Endings that the stemmer takes away; a word's forms are those it brings to the same stem.
+ENDINGS = ("", "s", "e", "es", "ed", "ing", "er", "ers", "or", "ors", "able", "ant", "ate", "ated", "ates", "ating", "ation", "ations", "ator", "ement", "ment", "ous", "ou", "ive", "ize", "ized", "al", "ly", "ness", "ion")
+
+
+def forms(word: str) -> str:
+    return "[" + ", ".join(f"'{word + e}'" for e in ENDINGS if tx.analysed_word(word + e) == tx.analysed_word(word)) + "]"
+
+
+@query(f"""WITH {PARA}, h AS (SELECT doc_id, seq FROM tok WHERE list_has_any(w, {forms('thing')}) OR list_has_any(w, {forms('whed')}))
+SELECT count(DISTINCT doc_id) AS total, count(*) AS total_hits FROM h""")
+def search_stemmed_totals(spark, sf_dir):
+    return search.find(index_of(spark, sf_dir), "things OR whed").totals
+
+
+@query(f"""WITH {PARA}, f AS (SELECT doc_id, list_has_any(w, {forms('thing')}) AS a, list_has_any(w, {forms('that')}) AS b FROM tok WHERE NOT meta)
+SELECT doc_id AS event_id, count(*) AS hit_count FROM f WHERE a OR b GROUP BY doc_id HAVING bool_or(a) AND bool_or(b)""")
+def search_stemmed_all_words(spark, sf_dir):
+    return search.find(index_of(spark, sf_dir), "thinging thats").ranked.select("event_id", "hit_count")
+
+
+@query(f"""WITH {PARA} SELECT count(DISTINCT doc_id) AS total, count(*) AS total_hits FROM tok WHERE list_contains(w, 'ete') OR list_contains(w, 'nana')""")
+def search_without_accents(spark, sf_dir):
+    return search.find(index_of(spark, sf_dir), "été OR ñaña", exact=True).totals
+
+
+@query(f"WITH {PARA} SELECT doc_id AS event_id, CAST(seq AS INTEGER) AS sequence_number, meta, len(w) AS len FROM tok")
+def index_paragraphs(spark, sf_dir):
+    return index_of(spark, sf_dir).paragraphs.select("event_id", "sequence_number", "meta", "len")
+
+
+@query("""WITH t AS (SELECT p_partkey AS event_id, regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+') AS w FROM part)
+SELECT event_id, w[i] AS term, CAST(i - 1 AS INTEGER) AS pos FROM (SELECT event_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)""")
+def index_titles(spark, sf_dir):
+    rows = index_of(spark, sf_dir, "parts").rows.where((F.col("analyzer") == "exact") & (F.col("field") == "title"))
+    return rows.select("event_id", "term", "pos")

@@ -1,4 +1,4 @@
-"""The package's own code for executors that don't have it installed."""
+"""What executors share with the driver: the package's own code, and a folder."""
 
 from __future__ import annotations
 
@@ -21,3 +21,14 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     context.addPyFile(str(target))
     context._folia_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares. Where none is set, a temporary one on a single machine only."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="folia-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from folia.operators.index import chunk_lines, postings
+from folia.operators.index import chunk_lines, postings, term_bucket
 
 
 def index_stream(docs: DataFrame, target: str, checkpoint: str, key: str = "doc_id") -> StreamingQuery:
@@ -14,7 +14,7 @@ def index_stream(docs: DataFrame, target: str, checkpoint: str, key: str = "doc_
     own folder, so every document is indexed exactly once."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        postings(chunk_lines(batch, key)).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+        postings(chunk_lines(batch, key)).withColumn("term_bucket", term_bucket(F.col("term"))).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

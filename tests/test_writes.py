@@ -19,7 +19,7 @@ def test_batches_are_all_or_nothing(spark):
     good = spark.createDataFrame([("add", "Day ~ 03", "English", "1970", None), ("modify", "day – 01", "en", "1971", None), ("delete", "Day ~ 02", "English", None, None)], cols)
     planned = writer.plan_batch(e, good)
     after, report = writer.apply_batch(e, planned)
-    assert {(r.title, r.date) for r in after.collect()} == {("Day ~ 03", "1970"), ("day – 01", "1971")}
+    assert {(r.title, r.date) for r in after.collect()} == {("Day ~ 03", "1970"), ("Day ~ 01", "1971")}  # a modified document keeps its title
     assert all(r.ok for r in report.collect())
     bad = good.unionByName(spark.createDataFrame([("delete", "Absent", "English", None, None)], cols))
     after, report = writer.apply_batch(e, writer.plan_batch(e, bad))
@@ -118,9 +118,71 @@ def test_header_events(spark):
     assert got == {"a_LHI.docx": ("T", None, "Hindi", "English", "B"), "b.docx": ("U", None, "French", "none", None), "c.docx": (None, None, "Unknown", None, None)}
 
 
-def test_too_many(spark):
-    from folia.operators.search import trim_too_many
+def whole(spark):
+    return {
+        "events": events(spark, [("1", "Day ~ 01", "English", None, None), ("2", "Day ~ 02", "en", None, None)]),
+        "paragraphs": spark.createDataFrame([("1", 1, "old river", "r"), ("1", 2, "older", None), ("2", 1, "gone stone", None)], "event_id string, sequence_number int, content string, role string"),
+        "tags": spark.createDataFrame([("1", "kept"), ("2", "lost")], "event_id string, tag string"),
+    }
 
-    df = spark.createDataFrame([(1, [("x", 1), ("y", 2)])], "event_id int, hits array<struct<content:string,n:int>>")
-    assert len(trim_too_many(df, 500).first().hits) == 2
-    assert [tuple(h) for h in trim_too_many(df, 501).first().hits] == [(None, 1)]
+
+def test_batches_write_whole_documents(spark):
+    tables = whole(spark)
+    cols = "action string, title string, language string, date string, location string, paragraphs array<struct<content:string,role:string>>"
+    batch = spark.createDataFrame([("add", "Day ~ 03", "English", "1970", None, [("third", "x")]), ("modify", "day – 01", "en", "1971", None, [("new cloud", None), ("second", "y")]), ("delete", "Day ~ 02", "English", None, None, [])], cols)
+    after, _ = writer.apply_documents(tables, writer.plan_batch(tables["events"], batch))
+    ids = {r.title: r.event_id for r in after["events"].collect()}
+    assert set(ids) == {"Day ~ 01", "Day ~ 03"} and ids["Day ~ 01"] == "1"
+    assert {tuple(r) for r in after["paragraphs"].collect()} == {("1", 1, "new cloud", None), ("1", 2, "second", "y"), (ids["Day ~ 03"], 1, "third", "x")}
+    assert {tuple(r) for r in after["tags"].collect()} == {("1", "kept")}
+    from folia.archive import Archive
+
+    e = after["events"].withColumn("translated_from", F.lit(None).cast("string"))
+    a = Archive(e, after["paragraphs"], after["tags"])
+    assert [r.event_id for r in a.search("cloud").collect()] == ["1"] and not a.search("stone").collect() and not a.search("old").collect()
+    bad = batch.unionByName(spark.createDataFrame([("delete", "Absent", "English", None, None, [])], cols))
+    same, _ = writer.apply_documents(tables, writer.plan_batch(tables["events"], bad))
+    assert same is tables
+
+
+def test_bulk_ingest_goes_as_far_as_it_can(spark):
+    tables = whole(spark)
+    batch = spark.createDataFrame([("Day ~ 02", "en", None, None, ["fresh"]), (" ", "en", None, None, ["x"]), ("New", "en", None, None, []), ("New two", "en", None, None, ["a", "b"])], "title string, language string, date string, location string, paragraphs array<string>")
+    after, report = writer.ingest_best_effort(tables, batch)
+    assert {(r.title, r.error) for r in report.collect()} == {("Day ~ 02", None), (" ", "missing title"), ("New", "no body"), ("New two", None)}
+    assert after["events"].count() == 3 and {r.content for r in after["paragraphs"].where("event_id <> '1'").collect()} == {"fresh", "a", "b"}
+
+
+def test_a_writer_that_dies_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    s = store.Store(spark, str(tmp_path / "s"))
+    df = spark.createDataFrame([("1", "A")], "event_id string, title string")
+    s.publish({"events": df}, 0)
+
+    def die(*_):
+        raise SystemExit
+
+    with monkeypatch.context() as m:
+        m.setattr(store.Store, "_commit", die)
+        m.setattr(store.Store, "publish", lambda self, t, base: (t["events"].write.parquet(f"{self.path}/data/dead/events"), die()))
+        with pytest.raises(SystemExit):
+            s.publish({"events": df}, 1)
+    (tmp_path / "s" / "commits" / "00000002").touch()  # died between creating and writing its commit
+    assert s.version() == 1 and s.read("events").count() == 1
+    with pytest.raises(store.Busy):
+        s.publish({"events": df}, 1)
+    assert s.sweep() >= 2 and s.publish({"events": df.union(df)}, 1) == 2 and s.read("events").count() == 2
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    a, b = (store.Store(spark, str(tmp_path / "s")) for _ in range(2))
+    df = spark.createDataFrame([("1", "A")], "event_id string, title string")
+    a.publish({"events": df}, 0)
+    with pytest.raises(store.Busy):
+        b._commit(1, "other")
+    assert a.read("events").count() == 1
+
+
+def test_reports_are_never_cut(spark):
+    assert store.dumps(spark.range(3)) == '[{"id": 0}, {"id": 1}, {"id": 2}]'
+    with pytest.raises(ValueError):
+        store.dumps(spark.range(1001))
