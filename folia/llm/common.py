@@ -114,3 +114,15 @@ def split_words(text: str | None) -> list[str]:
         if c in text:
             text = text.replace(c, " ")
     return [w for w in text.split(" ") if w]
+
+
+def crc32_sql(blob: str) -> str:
+    """CRC-32 of a blob in SQL, byte by byte by the 256 steps of its rule."""
+    steps = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        steps.append(f"{c}::UBIGINT")
+    start = "4294967295::UBIGINT"
+    step = f"xor([{', '.join(steps)}][CAST(xor(s, c) & 255 AS INTEGER) + 1], s >> 8)"
+    return f"CASE WHEN octet_length({blob}) = 0 THEN 0::UBIGINT ELSE xor(list_reduce(list_prepend({start}, list_transform(regexp_extract_all(hex({blob}), '..'), lambda h: ('0x' || h)::UBIGINT)), lambda s, c: {step}), {start}) END"

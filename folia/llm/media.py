@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folia.llm.batches import in_python
-from folia.llm.common import table
+from folia.llm.common import crc32_sql, table
 
 BLOCK, RATE = 64, 8000
 UNKNOWN = "application/octet-stream"
@@ -222,11 +222,11 @@ def _features(payload: bytes) -> str:
     x = np.frombuffer(payload, np.uint8)
     if not len(x):
         return "n=0"
-    p = np.bincount(x, minlength=256) / len(x)
-    level = np.arange(256)
-    mean = float(p @ level)
-    deviation = float(max(0.0, p @ (level - mean) ** 2)) ** 0.5
-    entropy = float(-(p[p > 0] * np.log2(p[p > 0])).sum())
+    n, counts, level = len(x), np.bincount(x, minlength=256), np.arange(256)
+    total, squares = int(counts @ level), int(counts @ level**2)  # whole numbers: no order of summing matters
+    mean, deviation = total / n, ((n * squares - total * total) / (n * n)) ** 0.5
+    p = counts[counts > 0] / n
+    entropy = abs(float((p * np.log2(p)).sum()))
     crossings = int(np.count_nonzero((x[1:] >= 128) != (x[:-1] >= 128)))
     return f"mean={mean:.3f};dev={deviation:.3f};bits={entropy:.3f};crossings={crossings}"
 
@@ -283,3 +283,19 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.expr(f"substring(payload, -{BLOCK}, {BLOCK})")).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
     )
+
+
+_LE = "format('{{:02x}}{{:02x}}{{:02x}}{{:02x}}', {0} & 255, ({0} >> 8) & 255, ({0} >> 16) & 255, {0} >> 24)"
+#: No text of the table holds a medium, so `embedded` is 0.
+ORACLE = f"""
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, octet_length(b) AS n_bytes, b || unhex(repeat('00', CAST(CASE WHEN octet_length(b) % {BLOCK} = 0 AND octet_length(b) > 0 THEN 0 ELSE {BLOCK} - octet_length(b) % {BLOCK} END AS INTEGER))) AS payload FROM t),
+x AS (SELECT *, octet_length(payload) AS n, list_transform(regexp_extract_all(hex(payload), '..'), lambda h: ('0x' || h)::INTEGER) AS l FROM p),
+f AS (SELECT *, list_sum(l) / n AS mean, CAST(list_sum(l) AS HUGEINT) AS total, CAST(list_sum(list_transform(l, lambda v: v * v)) AS HUGEINT) AS squares, map_values(list_histogram(l)) AS h, unhex(right(hex(payload), {2 * BLOCK})) AS tail,
+  unhex('52494646' || {_LE.format('(n + 36)')} || '57415645666d7420100000000100010' || '0401f0000401f000001000800' || '64617461' || {_LE.format('n')}) || payload AS media FROM x)
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(n AS BIGINT) AS payload_bytes, sha256(payload) AS payload_sha256, CAST({crc32_sql('tail')} AS BIGINT) AS tail_crc32,
+  CAST(octet_length(media) AS BIGINT) AS media_bytes, sha256(media) AS media_sha256,
+  format('type=audio/wav;declared=application/octet-stream;embedded=0;mean={{:.3f}};dev={{:.3f}};bits={{:.3f}};crossings={{}}', mean, sqrt(CAST(n * squares - total * total AS DOUBLE) / CAST(n * n AS DOUBLE)),
+    abs(list_sum(list_transform(h, lambda c: (c / n) * log2(c / n)))), CAST(list_sum(list_transform(range(1, n), lambda i: CASE WHEN (l[i] >= 128) <> (l[i + 1] >= 128) THEN 1 ELSE 0 END)) AS BIGINT)) AS feature
+FROM f
+"""

@@ -6,12 +6,14 @@ from folia.llm.bpe import op10_bpe
 from folia.llm.language import op3_language
 from folia.llm.licenses import op2_licenses
 from folia.llm.licenses import oracle as licences
+from folia.llm.media import ORACLE as MEDIA
 from folia.llm.media import op7_media
 from folia.llm.neardup import ORACLE as NEAR_DUPLICATES
 from folia.llm.neardup import op5_near_duplicates
 from folia.llm.packing import op1_packing
 from folia.llm.quality import ORACLE as QUALITY
 from folia.llm.quality import op8_quality
+from folia.llm.sharding import ORACLE as SHARDING
 from folia.llm.sharding import op6_sharding
 from folia.llm.substrings import ORACLE as SUBSTRINGS
 from folia.llm.substrings import op4_substrings
@@ -34,5 +36,7 @@ ORACLES: dict[str, str] = {
     "op2_licenses": licences(),
     "op4_substrings": SUBSTRINGS,
     "op5_near_duplicates": NEAR_DUPLICATES,
+    "op6_sharding": SHARDING,
+    "op7_media": MEDIA,
     "op8_quality": QUALITY,
 }

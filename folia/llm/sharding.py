@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from folia.llm.common import cut, drop, table
+from folia.llm.common import crc32_sql, cut, drop, table
 
 OVERHEAD = 8
 #: Ranges of the first level at most, and per shard; sampled keys per range and part.
@@ -136,3 +136,14 @@ def shard(docs: DataFrame, n: int = 24, text: str = "text", key: str = "doc_id",
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The order, its running sums and the CRC, byte by byte.
+ORACLE = f"""
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b, md5(coalesce(text, '')) AS m FROM documents),
+x AS (SELECT doc_id, octet_length(b) + 8 AS size, left(m, 15) AS k,
+  {crc32_sql('b')} AS crc FROM t),
+p AS (SELECT *, sum(size) OVER (ORDER BY k, doc_id) - size AS begins, sum(size) OVER () AS total, row_number() OVER (ORDER BY k, doc_id) AS r FROM x),
+s AS (SELECT *, CAST(least(23, floor(begins * 24 / total)) AS INTEGER) AS shard FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, shard, r - min(r) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
