@@ -116,21 +116,46 @@ def batch_actions(files: DataFrame, path: str = "path") -> DataFrame:
     return files.withColumn("action", action).where(F.col("action") != "")
 
 
-def unpack(spark: SparkSession, path: str, target: str, skip: tuple[str, ...] = ("__MACOSX",), most: int = 2 << 30) -> int:
-    """Extract a zip archive of documents into target; how many. Archives inside are refused."""
-    import os
-
-    if os.path.getsize(path) > most or not zipfile.is_zipfile(path):
-        raise ValueError("not a zip archive of a size that is read")
-    with zipfile.ZipFile(path) as z:
-        names = [n for n in z.namelist() if not n.endswith("/") and not set(n.split("/")) & set(skip)]
-        if any(n.lower().endswith(".zip") for n in names):
-            raise ValueError("an archive inside an archive")
-        if not names:
-            raise ValueError("empty archive")
-        for n in names:
-            z.extract(n, target)
-    return len(names)
+ARCHIVE_BYTES = 1 << 31
+
+
+def read_word_archives(spark: SparkSession, path: str) -> DataFrame:
+    """(path, pos, text, style, error): the paragraphs of all .docx files in the .zip archives below path,
+    under `archive!/member`. Executors read the archives where they lie. Each file is read as far as
+    it can be: one row with an error stands for an archive or member that can't (not an archive, too
+    large, an archive inside an archive, empty, unreadable)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(path)
+    ready = files.select("path", F.when(F.col("length") <= ARCHIVE_BYTES, F.col("content")).alias("content"))
+
+    def parse(batches):
+        for pdf in batches:
+            rows = [r for p, c in zip(pdf["path"], pdf["content"], strict=True) for r in archive_rows(p, c)]
+            yield pd.DataFrame(rows, columns=["path", "pos", "text", "style", "error"]).astype({"pos": "Int32"})
+
+    ship(spark)
+    return ready.mapInPandas(parse, "path string, pos int, text string, style string, error string")
+
+
+def archive_rows(path: str, content: bytes | None) -> list[tuple]:
+    bad = lambda at, why: (at, None, None, None, why)
+    if content is None:
+        return [bad(path, "too large")]
+    try:
+        z = zipfile.ZipFile(io.BytesIO(content))
+    except zipfile.BadZipFile:
+        return [bad(path, "not an archive")]
+    out = []
+    for name in z.namelist():
+        at, last = f"{path}!/{name}", plain_name(name)
+        if name.lower().endswith(".zip"):
+            out.append(bad(at, "an archive inside an archive"))
+        elif last.lower().endswith(".docx") and not last.startswith("~$") and not name.startswith("__MACOSX/"):
+            try:
+                found = word_paragraphs(z.read(name))
+            except (zipfile.BadZipFile, RuntimeError, OSError):  # damaged or encrypted
+                found = []
+            out += [(at, i, t, s, None) for i, (t, s) in enumerate(found)] or [bad(at, "unreadable")]
+    return out or [bad(path, "empty archive")]
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:

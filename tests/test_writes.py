@@ -76,6 +76,23 @@ def test_word_files(spark, tmp_path):
     assert [(r.action, r.text, r.style) for r in rows] == [("add", "Hello\tthere", "style - Main Talking"), ("add", "End", None)]
 
 
+def test_archives_of_word_files(spark, tmp_path):
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body><w:p><w:r><w:t>Hello</w:t></w:r></w:p></w:body></w:document>")
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for name, data in (("Add/a.docx", inner.getvalue()), ("Modify/b.docx", b"broken"), ("__MACOSX/Add/a.docx", b"x"), ("Add/~$a.docx", b"x"), ("more.zip", b"x")):
+            z.writestr(name, data)
+    (tmp_path / "bad.zip").write_bytes(b"nothing")
+    with zipfile.ZipFile(tmp_path / "none.zip", "w") as z:
+        z.writestr("readme.txt", "x")
+    rows = readers.read_word_archives(spark, str(tmp_path)).collect()
+    got = {r.path.split("/", 3)[-1].rsplit("/", 1)[-1] if "!" not in r.path else r.path[r.path.index("!") :]: (r.pos, r.text, r.error) for r in rows}
+    assert got == {"!/Add/a.docx": (0, "Hello", None), "!/Modify/b.docx": (None, None, "unreadable"), "!/more.zip": (None, None, "an archive inside an archive"), "bad.zip": (None, None, "not an archive"), "none.zip": (None, None, "empty archive")}
+    assert [r.action for r in readers.batch_actions(readers.read_word_archives(spark, str(tmp_path)).where("error IS NULL")).collect()] == ["add"]
+
+
 def test_csv_and_json(spark, tmp_path):
     (tmp_path / "d.csv").write_text('id,title,time,language,eventText\n1,A,1970,en,"place: Pune\nfirst\x0bsecond"\n,B,1971,en,skipped\n1,C,1972,en,more\n')
     e, p = readers.read_csv_dump(spark, str(tmp_path / "d.csv"))
@@ -126,7 +143,7 @@ def whole(spark):
     }
 
 
-def test_batches_write_whole_documents(spark):
+def test_batches_write_whole_documents(spark, tmp_path):
     tables = whole(spark)
     cols = "action string, title string, language string, date string, location string, paragraphs array<struct<content:string,role:string>>"
     batch = spark.createDataFrame([("add", "Day ~ 03", "English", "1970", None, [("third", "x")]), ("modify", "day – 01", "en", "1971", None, [("new cloud", None), ("second", "y")]), ("delete", "Day ~ 02", "English", None, None, [])], cols)
@@ -139,6 +156,7 @@ def test_batches_write_whole_documents(spark):
 
     e = after["events"].withColumn("translated_from", F.lit(None).cast("string"))
     a = Archive(e, after["paragraphs"], after["tags"])
+    a.reindex(str(tmp_path / "i"))
     assert [r.event_id for r in a.search("cloud").collect()] == ["1"] and not a.search("stone").collect() and not a.search("old").collect()
     bad = batch.unionByName(spark.createDataFrame([("delete", "Absent", "English", None, None, [])], cols))
     same, _ = writer.apply_documents(tables, writer.plan_batch(tables["events"], bad))
