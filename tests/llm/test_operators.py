@@ -658,3 +658,13 @@ def test_huge_texts_are_split_alike(monkeypatch):
 def test_sha_of_kept_text(spark):
     out = substrings.substring_dedup(spark.createDataFrame([(1, "a  b\nc")], "doc_id long, text string")).select(F.sha2("kept", 256)).first()[0]
     assert out == hashlib.sha256(b"a b c").hexdigest()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    session = lambda master, path=None: N(conf=N(get=lambda *_: path), sparkContext=N(master=master, applicationId="app-1"))
+    assert common.shared_dir(session("yarn", "hdfs:/x/")) == "hdfs:/x"
+    assert common.shared_dir(session("local[4]")) == common.shared_dir(session("local[4]"))
+    with pytest.raises(ValueError):
+        common.shared_dir(session("spark://host:7077"))
