@@ -204,3 +204,15 @@ def test_reports_are_never_cut(spark):
     assert store.dumps(spark.range(3)) == '[{"id": 0}, {"id": 1}, {"id": 2}]'
     with pytest.raises(ValueError):
         store.dumps(spark.range(1001))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from folia.shipping import shared_dir
+
+    session = lambda master, path=None: N(conf=N(get=lambda *_: path), sparkContext=N(master=master, applicationId="app-1"))
+    assert shared_dir(session("yarn", "hdfs:/x/")) == "hdfs:/x"
+    assert shared_dir(session("local[4]")) == shared_dir(session("local[4]"))
+    with pytest.raises(ValueError):
+        shared_dir(session("spark://host:7077"))
