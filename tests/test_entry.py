@@ -44,3 +44,22 @@ def test_entry_imports(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert len(e.queries()) >= 40
+
+
+#: Each line ends in its own number; some have spaces of other kinds at their ends, or a tab.
+LINES = [[f"that call in {i}.{i}" for i in range(24)], ["", "  1", " 2 11　", "\t3\t", " ", "4 that 44", "five in 5 55"], [" "], None]
+
+
+@pytest.mark.parametrize("name", ["body_hashes"])
+def test_lines_that_end_in_their_number(spark, tmp_path, name):
+    import duckdb
+
+    from folia.plans.registry import ORACLES, QUERIES
+
+    docs = [(i, None if x is None else "\n".join(x), "en", "web") for i, x in enumerate(LINES)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.execute(ORACLES[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).select(columns).collect())) == sorted(want.fetchall())
