@@ -50,7 +50,7 @@ def test_entry_imports(spark):
 LINES = [[f"that call in {i}.{i}" for i in range(24)], ["", "  1", " 2 11　", "\t3\t", " ", "4 that 44", "five in 5 55"], [" "], None]
 
 
-@pytest.mark.parametrize("name", ["body_hashes", "index_vocabulary", "index_paragraphs"])
+@pytest.mark.parametrize("name", ["body_hashes", "index_vocabulary", "index_paragraphs", "archive_hits"])
 def test_lines_that_end_in_their_number(spark, tmp_path, name):
     import duckdb
 
