@@ -240,3 +240,14 @@ def test_lines_keep_their_ends(spark):
     assert [(r.sequence_number, r.content) for r in chunk_lines(d).orderBy("sequence_number").collect()] == [(0, "call 0"), (1, "call 171"), (2, "2"), (3, "three 3"), (4, "\tfive 5\t")]
     blocks = spark.createDataFrame([("0" * 20 + "\n\n " + "1" * 20 + "\n\n" + "2" * 19,), ("0000000000\n22 ",)], "c string").select(chunk_blocks(F.col("c")).alias("b"))
     assert [r.b for r in blocks.collect()] == [["0" * 20, "1" * 20], ["0000000000"]]
+
+
+def test_marks_agree_with_sqlite(spark):
+    rows = [("a", 0, "river river"), ("a", 1, "a river river river, River."), ("a", 2, "Ríver of rïver and rivers"), ("b", 0, "in river that river in"), ("b", 1, "«river» river"), ("b", 2, "íñ in Íñ")]
+    db = sqlite("unicode61 remove_diacritics 1 categories 'L* N* Co Mn Mc'", rows)
+    i = index_of(spark.createDataFrame(rows, "event_id string, sequence_number int, content string"))
+    for q in ("river", "in", "river OR in"):
+        want = {rows[n - 1][:2]: s for n, s in db.execute("SELECT rowid, highlight(t, 0, '[', ']') FROM t WHERE t MATCH ?", (q,))}
+        x = i.paragraphs.join(search.marks(search.occurrences(i, parse(q).terms, exact=True)), ["event_id", "sequence_number"])
+        hl = search.highlight(F.col("content"), F.col("starts"), F.col("ends"), "[", "]").alias("hl")
+        assert {(r.event_id, r.sequence_number): r.hl for r in x.select("event_id", "sequence_number", hl).collect()} == want, q
