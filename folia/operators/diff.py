@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIELDS = ("date", "location", "translated_from", "source_short")
 ORDER = ("ADDED", "MODIFIED", "REMOVED", "UNCHANGED")
 
 
+def body(paragraphs: Column) -> Column:
+    """SHA-1 of a document's paragraphs, joined by line breaks."""
+    return F.sha1(F.array_join(paragraphs, "\n"))
+
+
 def bodies(paragraphs: DataFrame) -> DataFrame:
-    """(event_id, n_paragraphs, body): SHA-1 of the paragraphs in order, joined by line breaks."""
+    """(event_id, n_paragraphs, body) of each document's paragraphs in order."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("sequence_number", "content"))), lambda s: s["content"])
-    return paragraphs.groupBy("event_id").agg(F.count("*").alias("n_paragraphs"), F.sha1(F.array_join(ordered, "\n")).alias("body"))
+    return paragraphs.groupBy("event_id").agg(F.count("*").alias("n_paragraphs"), body(ordered).alias("body"))
 
 
 def keyed(events: DataFrame, paragraphs: DataFrame) -> DataFrame:

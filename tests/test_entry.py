@@ -63,3 +63,28 @@ def test_lines_that_end_in_their_number(spark, tmp_path, name):
     want = db.execute(ORACLES[name])
     columns = [c[0] for c in want.description]
     assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).select(columns).collect())) == sorted(want.fetchall())
+
+
+#: Documents that share an id or have none; lines with carriage returns and vertical tabs.
+ODD = [
+    (1, "that in\nline"), (1, "that\nin other"), (2, "one"), (2, "one"), (None, "that in\nline"), (None, "that\nin other"),
+    (3, "that 1\r\nin 2\r\n\r\nend"), (4, "that\rthat"), (5, "\r\n"), (6, "that\x0bin\x0b\nevent page"), (7, "\x0b"), (8, " \n"), (9, None),
+]
+
+
+def check_odd_documents(spark, folder, name, docs=ODD):
+    import duckdb
+
+    from folia.plans.registry import ORACLES, QUERIES
+
+    spark.createDataFrame([(*d, "en", "web") for d in docs], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    want = db.execute(ORACLES[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(map(tuple, QUERIES[name](spark, str(folder)).select(columns).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+@pytest.mark.parametrize("name", ["body_hashes"])
+def test_odd_documents(spark, tmp_path, name):
+    check_odd_documents(spark, tmp_path, name)
