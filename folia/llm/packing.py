@@ -45,7 +45,7 @@ from folia.llm.batches import in_python, ship
 from folia.llm.common import cut, table
 
 VOCABULARY, CAPACITY, END = "word_bpe_49k.json", 2048, 0
-#: Remembered words, and chunks, per worker at most; their length.
+#: Remembered words, and chunks, per task at most; their length.
 WORDS, LONG = 1 << 19, 64
 #: Pieces that one task numbers; rows of a round that one range sweeps; flows at most.
 RUN, RANGE, FLOWS = 1 << 20, 256, 1 << 20
@@ -68,12 +68,18 @@ def byte_signs() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*plain}))}
 
 
+@cache
+def load(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
 class Words:
     """Ids of texts. Those of chunks between blanks, and of the words in them, are remembered, up to
-    a bound; unknown chunks are split many at a time, as one text."""
+    a bound; unknown chunks are split many at a time, as one text. One for each task: a worker that
+    waits between tasks keeps the tokenizer alone."""
 
     def __init__(self, path: str):
-        self.model = Tokenizer.from_file(path)
+        self.model = load(path)
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -141,11 +147,6 @@ class Words:
         return [BREAK if w == "\n" else b"".join([t.id.to_bytes(4, "little") for t in merge(s)]) for w, s in zip(words, spelt, strict=True)]
 
 
-@cache
-def load(path: str) -> Words:
-    return Words(path)
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, piece, start, length, ids): each document's ids and END, cut at the capacity."""
     kind = docs.schema[key].dataType.simpleString()
@@ -154,7 +155,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, text: str = "te
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        model, end = load(path), np.array([END], "<u4").tobytes()
+        model, end = Words(path), np.array([END], "<u4").tobytes()
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
             row, piece, start, ids = [], [], [], []

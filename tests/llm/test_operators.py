@@ -3,6 +3,7 @@
 import base64
 import bisect
 import collections
+import gc
 import hashlib
 import math
 import random
@@ -15,6 +16,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +132,16 @@ def test_word_ids_equal_the_library(t):
     assert np.frombuffer(packing.Words(path).ids(t), "<u4").tolist() == want
 
 
+def test_a_waiting_worker_remembers_no_words(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "river stone")], "doc_id long, text string")
+    monkeypatch.setattr(type(texts), "mapInArrow", lambda self, run, schema: run)
+    task = packing.pieces(texts, P.path("word_bpe_49k.json"))
+    batch = pa.record_batch([pa.array([1]), pa.array(["river stone"])], ["doc_id", "text"])
+    assert sum(b.num_rows for b in task(iter([batch]))) == 1
+    gc.collect()
+    assert not [o for o in gc.get_objects() if isinstance(o, packing.Words)]
+
+
 def test_licences(spark, docs, empty):
     rows = [("a/LICENSE", "Released under the MIT License."), ("a/b/c.txt", "prose"), ("a/b/COPYING.txt", "Licensed under the Apache License, Version 2.0."), ("a/b/d/e.txt", None), ("z.txt", ""), (None, "All rights reserved."), ("q/x.md", "prose. Licensed under CC BY 4.0. prose mit mit"), ("a/LICENSE", "Released under the MIT License.")]
     x = spark.createDataFrame(rows, "path string, text string").withColumn("score", F.lit("clash"))
